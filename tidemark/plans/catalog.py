@@ -1,4 +1,266 @@
-"""Queries by name and the SQL that each must equal."""
+"""Queries by name over the driver's tables, and the SQL that each must equal.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Each takes (spark, folder of tables). The op log is read from `events` as tidemark.sources.oplog maps it; a manifest of files is read from `orders`, samples and faults from `events`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import maintenance as m
+from ..operators import reads, reports, visibility
+from ..sources.oplog import EVENT_COLUMNS, event_log, numbered
+
+#: Sequence numbers at which the queries read, and keys they ask for.
+AS_OF, EARLIER, KEYS = 9000, 4000, [3, 149, 3, 9999, 0, 77]
+
+FILES = {
+    "file_no": "o_orderkey", "cf_id": "CAST(o_orderkey % 3 AS INT) + 1", "level": "CAST(o_custkey % 7 AS INT)", "size": "CAST(floor(o_totalprice * 100) AS BIGINT)",
+    "smallest_key": "o_custkey", "largest_key": "o_custkey + o_orderkey % 5", "version": "CAST(floor(o_totalprice) AS BIGINT) % 10",
+    "name": "concat('f', CAST(o_orderkey % 500 AS STRING))", "crc32": "o_custkey % 97", "backup_id": "o_orderkey % 11",
+}
+
+
+def _log(spark, d: str, families: bool = False) -> DataFrame:
+    return event_log(spark.read.parquet(f"{d}/events.parquet"), families)
+
+
+def _files(spark, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/orders.parquet").selectExpr(*[f"{e} AS {c}" for c, e in FILES.items()])
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.select("key", "seq", "value")
+
+
+def _strings(spark, d: str) -> DataFrame:
+    """Customers as an op log with text keys, each put once; every tenth is deleted after."""
+    customers = spark.read.parquet(f"{d}/customer.parquet")
+    puts = customers.select(F.lit(1).alias("cf_id"), F.col("c_custkey").alias("seq"), F.lit(1).alias("op"), F.col("c_name").alias("key"), F.lit(None).cast("string").alias("end_key"), F.col("c_nationkey").cast("long").alias("value"))
+    gone = customers.where("c_custkey % 10 = 0").select(F.lit(1).alias("cf_id"), (F.col("c_custkey") + 10_000_000).alias("seq"), F.lit(0).alias("op"), F.col("c_name").alias("key"), F.lit(None).cast("string").alias("end_key"), F.lit(None).cast("long").alias("value"))
+    return puts.unionByName(gone)
+
+
+def _values(spark, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet").select("event_type", "value", "user_id", F.col("event_id").alias("id"), (F.col("value") * 40).alias("micros"))
+
+
+def kv_multi_get(spark, d):
+    return reads.multi_get(_log(spark, d), KEYS, seq=AS_OF)
+
+
+def kv_verify_model(spark, d):
+    log = _log(spark, d)
+    model = visibility.latest(visibility.as_of(log, AS_OF)).where("op = 1")
+    return m.verify_model(model, visibility.visible(log, AS_OF)).select("key", "problem")
+
+
+def kv_compact_survivors(spark, d):
+    kept = m.compaction_verdicts(_log(spark, d).where("op != 3"), AS_OF).where("keep")
+    return kept.select("key", "seq", "op")
+
+
+def kv_compact_live(spark, d):
+    log = _log(spark, d).where("op != 3")
+    return _plain(visibility.visible(m.compacted(log, AS_OF), None))
+
+
+def kv_integrity_check(spark, d):
+    files = _files(spark, d)
+    present = files.where("file_no % 13 != 0").select("file_no", F.when(F.col("file_no") % 17 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
+    families = spark.createDataFrame([(1, "default", True), (2, "meta", True), (3, "old", False)], "id int, name string, active boolean")
+    return m.integrity(files, present, families)
+
+
+def kv_gc_obsolete(spark, d):
+    files = _files(spark, d)
+    edits = files.select("file_no", "version", F.lit(True).alias("added")).union(files.where("cf_id = 2").select("file_no", F.lit(99).cast("long").alias("version"), F.lit(False).alias("added")))
+    return m.obsolete_files(files.select("file_no", "size"), m.current_files(edits))
+
+
+def kv_backup_reuse(spark, d):
+    files = _files(spark, d).select("name", "size", "backup_id")
+    plan = m.backup_plan(files.where("backup_id = 10").select("name", "size"), files.where("backup_id < 10").select("name", (F.col("size") - F.col("size") % 7).alias("size")))
+    return plan.groupBy("reused").agg(F.count(F.lit(1)).alias("files"), F.sum("size").cast("long").alias("bytes"))
+
+
+def kv_batch_sequence(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("batch_id"), F.col("l_linenumber").alias("op_index"), F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("supp"))
+    ordered = lines.withColumn("op_index", F.struct("op_index", "key", "supp"))
+    return numbered(ordered, 1000).groupBy("batch_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+def rep_rates(spark, d):
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    samples = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.floor("value").cast("long").alias("step"))
+    samples = samples.select("user_id", (F.col("event_id") * 250).alias("time_millis"), F.sum("step").over(order).alias("operations"))
+    return reports.rates(samples, "user_id", "time_millis", "operations")
+
+
+def rep_run_summary(spark, d):
+    samples = _values(spark, d).withColumn("span", (F.col("id") % 9 + 1).cast("long"))
+    kept = reports.steady(samples, "user_id", "id", "span")
+    return reports.summary(kept, "user_id", "value").select("user_id", "n", "min", "max", "p05", "p50", "p95", F.round("drop", 9).alias("drop"))
+
+
+def rep_fault_counts(spark, d):
+    faults = _values(spark, d).select(F.col("event_type").alias("kind"), F.expr("CASE id % 4 WHEN 0 THEN 'recovered' WHEN 1 THEN 'detected' WHEN 2 THEN 'unexpected' ELSE 'other' END").alias("status"))
+    return reports.fault_counts(faults)
+
+
+QUERIES = {
+    "kv_live_latest": lambda s, d: _plain(visibility.visible(_log(s, d))),
+    "kv_live_as_of": lambda s, d: _plain(visibility.visible(_log(s, d), AS_OF)),
+    "kv_live_swept": lambda s, d: _plain(visibility.visible(_log(s, d), AS_OF, "sweep")),
+    "kv_point_get": lambda s, d: _plain(reads.get(_log(s, d), 149, seq=AS_OF)),
+    "kv_multi_get": kv_multi_get,
+    "kv_scan_limit": lambda s, d: _plain(reads.scan(_log(s, d), seq=AS_OF, limit=20)),
+    "kv_reverse_scan": lambda s, d: _plain(reads.scan(_log(s, d), seq=AS_OF, reverse=True)),
+    "kv_seek": lambda s, d: _plain(reads.seek(_log(s, d), 50, seq=AS_OF)),
+    "kv_seek_for_prev": lambda s, d: _plain(reads.seek_for_prev(_log(s, d), 50, seq=AS_OF)),
+    "kv_range_scan": lambda s, d: _plain(reads.scan(_log(s, d), seq=AS_OF, low=20, high=90)),
+    "kv_prefix_scan": lambda s, d: _plain(reads.scan(_strings(s, d), prefix="Customer#00000")),
+    "kv_first_last": lambda s, d: reads.first_last(_log(s, d, True), AS_OF),
+    "kv_delete_mask": lambda s, d: visibility.latest(_log(s, d)).select("key", "seq", F.col("op").cast("int").alias("op"), "value"),
+    "kv_range_delete_mask": lambda s, d: visibility.newest_cover(visibility.latest(_log(s, d)).select("cf_id", "key", "seq"), visibility.ranges(_log(s, d))).select("key", "seq", "cover"),
+    "kv_counter_final": lambda s, d: visibility.counters(_log(s, d)).select("key", "value"),
+    "kv_counter_as_of": lambda s, d: visibility.counters(_log(s, d, True), AS_OF).select("cf_id", "key", "value"),
+    "kv_counter_history": lambda s, d: visibility.counter_history(_log(s, d).where("key < 20")).select("key", "seq", "value"),
+    "kv_key_history": lambda s, d: reads.history(_log(s, d), 3).select("seq", F.col("op").cast("int").alias("op"), "value", "delta"),
+    "kv_raw_scan": lambda s, d: reads.raw(_log(s, d, True), 2).select("key", "seq", F.col("op").cast("int").alias("op")),
+    "kv_snapshot_diff": lambda s, d: reads.snapshot_diff(_log(s, d), EARLIER, AS_OF).drop("cf_id"),
+    "kv_cf_isolation": lambda s, d: visibility.visible(_log(s, d, True), AS_OF),
+    "kv_batch_sequence": kv_batch_sequence,
+    "kv_compact_survivors": kv_compact_survivors,
+    "kv_compact_dropped": lambda s, d: m.compaction_verdicts(_log(s, d).where("op != 3"), AS_OF).groupBy(F.col("op").cast("int").alias("op")).agg(F.count(F.lit(1)).alias("ops"), F.count_if(~F.col("keep")).alias("dropped")),
+    "kv_compact_live": kv_compact_live,
+    "kv_approx_size": lambda s, d: m.approximate_size(_log(s, d), 10, 100),
+    "kv_level_files": lambda s, d: m.level_files(_files(s, d)),
+    "kv_compaction_score": lambda s, d: m.compaction_scores(_files(s, d)),
+    "kv_pick_compaction": lambda s, d: m.pick_compaction(_files(s, d)),
+    "kv_pending_bytes": lambda s, d: m.pending_bytes(_files(s, d)).select("cf_id", F.round("pending_bytes", 3).alias("pending_bytes")),
+    "kv_level_overlap": lambda s, d: m.next_level_overlap(_files(s, d)),
+    "kv_gc_obsolete": kv_gc_obsolete,
+    "kv_backup_reuse": kv_backup_reuse,
+    "kv_object_refs": lambda s, d: m.object_refs(_files(s, d).withColumn("size", F.col("size") % 3)),
+    "kv_backup_purge": lambda s, d: m.purge(_files(s, d), 4),
+    "kv_integrity_check": kv_integrity_check,
+    "kv_verify_model": kv_verify_model,
+    "rep_rates": rep_rates,
+    "rep_percentiles": lambda s, d: reports.summary(_values(s, d), "event_type", "value").select("event_type", "n", "min", "max", "p05", "p50", "p95"),
+    "rep_histogram": lambda s, d: reports.histogram(_values(s, d), "event_type", "micros"),
+    "rep_operation_stats": lambda s, d: reports.operation_stats(_values(s, d), "event_type", "micros", 10000).select("event_type", "n", F.round("total", 2).alias("total"), F.round("avg", 4).alias("avg"), "max", "slow"),
+    "rep_fault_counts": rep_fault_counts,
+    "rep_throughput_drop": lambda s, d: reports.summary(_values(s, d), "event_type", "value").select("event_type", F.round("drop", 9).alias("drop")),
+    "rep_run_summary": rep_run_summary,
+    "rep_reclamation": lambda s, d: reports.reclamation(_values(s, d).select(F.expr("CASE id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'backoff' ELSE 'none' END").alias("status"), F.floor("value").cast("long").alias("shrink_bytes"))),
+    "rep_amplification": lambda s, d: _files(s, d).groupBy("cf_id").agg(reports.amplification(F.sum("size"), F.sum(F.when(F.col("level") > 0, F.col("size")))).alias("amplification")),
+}
+
+
+def _log_sql(families: bool = False) -> str:
+    columns = EVENT_COLUMNS | ({} if families else {"cf_id": "1"})
+    return "log AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + " FROM events)"
+
+
+def _visible_sql(seq: int | None = None, families: bool = False, name: str = "live") -> str:
+    bound = "" if seq is None else f" AND seq <= {seq}"
+    return f"""{name} AS (SELECT p.cf_id, p.key, p.seq, p.value FROM (
+      SELECT *, row_number() OVER (PARTITION BY cf_id, key ORDER BY seq DESC) AS rn FROM log WHERE op IN (0, 1){bound}) p
+    WHERE rn = 1 AND op = 1 AND NOT EXISTS (SELECT 1 FROM log t WHERE t.op = 2{bound.replace("seq", "t.seq")} AND t.cf_id = p.cf_id AND t.key <= p.key AND p.key < t.end_key AND t.seq > p.seq))"""
+
+
+def _live(select: str, seq: int | None = AS_OF, families: bool = False) -> str:
+    return f"WITH {_log_sql(families)}, {_visible_sql(seq, families)} {select}"
+
+
+_ROWS = "SELECT key, seq, value FROM live"
+_FILES = "files AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in FILES.items()) + " FROM orders)"
+_SCORES = f"""WITH {_FILES}, sums AS (SELECT cf_id, level, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY cf_id, level),
+  scores AS (SELECT *, CASE WHEN level = 0 THEN files / 4.0::DOUBLE ELSE bytes / (10485760.0::DOUBLE * pow(10.0::DOUBLE, level - 1)) END AS score FROM sums)"""
+_KEPT = f"""WITH {_log_sql()}, own AS (SELECT *, lag(seq) OVER (PARTITION BY cf_id, key ORDER BY seq DESC) AS newer FROM log WHERE op != 3),
+  verdicts AS (SELECT *, NOT (op != 2 AND (coalesce(newer <= {AS_OF}, false) OR (op = 0 AND seq <= {AS_OF}))) AS keep FROM own)"""
+_VALUES = "vals AS (SELECT event_type, value, user_id, event_id AS id, value * 40 AS micros FROM events)"
+
+
+def _counter_sql(seq: int | None, families: bool, columns: str) -> str:
+    bound = "" if seq is None else f" WHERE seq <= {seq}"
+    return f"""WITH {_log_sql(families)}, own AS (SELECT * FROM log{bound}),
+    keys AS (SELECT DISTINCT cf_id, key FROM own WHERE op != 2),
+    resets AS (SELECT k.cf_id, k.key, max(o.seq) AS base, arg_max(o.op, o.seq) AS op, arg_max(coalesce(o.value, 0), o.seq) AS start FROM keys k LEFT JOIN own o
+      ON o.cf_id = k.cf_id AND ((o.op IN (0, 1) AND o.key = k.key) OR (o.op = 2 AND o.key <= k.key AND k.key < o.end_key)) GROUP BY k.cf_id, k.key),
+    sums AS (SELECT r.cf_id, r.key, coalesce(r.op = 1, false) AS has, CASE WHEN r.op = 1 THEN r.start ELSE 0 END AS start, sum(o.delta) AS added FROM resets r LEFT JOIN own o
+      ON o.cf_id = r.cf_id AND o.key = r.key AND o.op = 3 AND o.seq > coalesce(r.base, -1) GROUP BY ALL)
+    SELECT {columns}, CAST(start + coalesce(added, 0) AS BIGINT) AS value FROM sums WHERE has OR added IS NOT NULL"""
+
+
+def _percentile(p: float, column: str = "value") -> str:
+    return f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})"
+
+
+_asked = ", ".join(f"({i}, {k})" for i, k in enumerate(KEYS))
+ORACLES = {
+    "kv_live_latest": _live(_ROWS, None),
+    "kv_live_as_of": _live(_ROWS),
+    "kv_live_swept": _live(_ROWS),
+    "kv_point_get": _live(_ROWS + " WHERE key = 149"),
+    "kv_multi_get": _live(f"SELECT CAST(a.place AS BIGINT) AS place, CAST(a.k AS BIGINT) AS key, value FROM (VALUES {_asked}) AS a(place, k) LEFT JOIN live ON live.key = a.k"),
+    "kv_scan_limit": _live(_ROWS + " ORDER BY key LIMIT 20"),
+    "kv_reverse_scan": _live(_ROWS + " ORDER BY key DESC"),
+    "kv_seek": _live(_ROWS + " WHERE key >= 50 ORDER BY key LIMIT 1"),
+    "kv_seek_for_prev": _live(_ROWS + " WHERE key <= 50 ORDER BY key DESC LIMIT 1"),
+    "kv_range_scan": _live(_ROWS + " WHERE key >= 20 AND key < 90"),
+    "kv_prefix_scan": "SELECT c_name AS key, c_custkey AS seq, CAST(c_nationkey AS BIGINT) AS value FROM customer WHERE starts_with(c_name, 'Customer#00000') AND c_custkey % 10 != 0",
+    "kv_first_last": _live("SELECT cf_id, min(key) AS first_key, max(key) AS last_key, count(*) AS live_keys FROM live GROUP BY cf_id", AS_OF, True),
+    "kv_delete_mask": f"WITH {_log_sql()} SELECT key, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE op IN (0, 1)) WHERE rn = 1",
+    "kv_range_delete_mask": f"WITH {_log_sql()}, p AS (SELECT key, max(seq) AS seq FROM log WHERE op IN (0, 1) GROUP BY key) SELECT p.key, p.seq, max(t.seq) AS cover FROM p LEFT JOIN log t ON t.op = 2 AND t.key <= p.key AND p.key < t.end_key GROUP BY p.key, p.seq",
+    "kv_counter_final": _counter_sql(None, False, "key"),
+    "kv_counter_as_of": _counter_sql(AS_OF, True, "cf_id, key"),
+    "kv_counter_history": f"""WITH {_log_sql()}, own AS (SELECT * FROM log WHERE key < 20), keys AS (SELECT DISTINCT key FROM own WHERE op != 2),
+      ops AS (SELECT key, seq, op, coalesce(value, delta) AS v FROM own WHERE op != 2 UNION ALL SELECT k.key, t.seq, 0, NULL FROM keys k JOIN own t ON t.op = 2 AND t.key <= k.key AND k.key < t.end_key),
+      cut AS (SELECT *, sum(CASE WHEN op != 3 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq) AS segment FROM ops)
+      SELECT key, seq, CASE WHEN max(CASE WHEN op != 0 THEN 1 ELSE 0 END) OVER w = 1 THEN CAST(sum(coalesce(v, 0)) OVER w AS BIGINT) END AS value FROM cut WINDOW w AS (PARTITION BY key, segment ORDER BY seq)""",
+    "kv_key_history": f"WITH {_log_sql()} SELECT seq, op, value, delta FROM log WHERE key = 3 AND op != 2",
+    "kv_raw_scan": f"WITH {_log_sql(True)} SELECT key, seq, op FROM log WHERE cf_id = 2",
+    "kv_snapshot_diff": f"""WITH {_log_sql()}, {_visible_sql(EARLIER, name="old")}, {_visible_sql(AS_OF, name="new")}
+      SELECT coalesce(o.key, n.key) AS key, o.value AS old_value, n.value AS new_value, CASE WHEN o.seq IS NULL THEN 'added' WHEN n.seq IS NULL THEN 'removed' ELSE 'changed' END AS change
+      FROM old o FULL JOIN new n ON o.key = n.key WHERE o.seq IS DISTINCT FROM n.seq""",
+    "kv_cf_isolation": _live("SELECT cf_id, key, seq, value FROM live", AS_OF, True),
+    "kv_batch_sequence": "SELECT l_orderkey AS batch_id, min(seq) AS first_seq, max(seq) AS last_seq FROM (SELECT l_orderkey, 1000 + row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem) GROUP BY l_orderkey",
+    "kv_compact_survivors": _KEPT + " SELECT key, seq, CAST(op AS INTEGER) AS op FROM verdicts WHERE keep",
+    "kv_compact_dropped": _KEPT + " SELECT CAST(op AS INTEGER) AS op, count(*) AS ops, count(*) FILTER (NOT keep) AS dropped FROM verdicts GROUP BY op",
+    "kv_compact_live": _live(_ROWS, None),
+    "kv_approx_size": f"WITH {_log_sql()} SELECT CAST(coalesce(sum(length(CAST(key AS VARCHAR)) + coalesce(length(CAST(value AS VARCHAR)), 0)), 0) AS BIGINT) AS bytes, count(*) AS ops FROM log WHERE key >= 10 AND key < 100",
+    "kv_level_files": f"WITH {_FILES} SELECT cf_id, level, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY cf_id, level",
+    "kv_compaction_score": _SCORES + " SELECT cf_id, level, files, bytes, score FROM scores",
+    "kv_pick_compaction": _SCORES + " SELECT cf_id, level, score FROM (SELECT *, row_number() OVER (PARTITION BY cf_id ORDER BY score DESC, level) AS rn FROM scores WHERE level < 6) WHERE rn = 1",
+    "kv_pending_bytes": _SCORES + " SELECT cf_id, round(sum(CASE WHEN score > 1 THEN CASE WHEN level = 0 THEN bytes ELSE bytes - 10485760 * pow(10.0::DOUBLE, level - 1) END ELSE 0.0::DOUBLE END), 3) AS pending_bytes FROM scores GROUP BY cf_id",
+    "kv_level_overlap": f"""WITH {_FILES} SELECT cf_id, level, CAST(max(bytes) AS BIGINT) AS overlap_bytes FROM (SELECT a.cf_id, a.level, a.file_no, sum(b.size) AS bytes FROM files a JOIN files b
+      ON a.cf_id = b.cf_id AND b.level = a.level + 1 AND a.smallest_key <= b.largest_key AND b.smallest_key <= a.largest_key WHERE a.level >= 1 GROUP BY ALL) GROUP BY cf_id, level""",
+    "kv_gc_obsolete": f"WITH {_FILES} SELECT file_no, size FROM files WHERE cf_id = 2",
+    "kv_backup_reuse": f"""WITH {_FILES}, old AS (SELECT DISTINCT name, size - size % 7 AS size FROM files WHERE backup_id < 10), plan AS (SELECT f.size, o.name IS NOT NULL AS reused FROM files f LEFT JOIN old o ON f.name = o.name AND f.size = o.size WHERE backup_id = 10)
+      SELECT reused, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM plan GROUP BY reused""",
+    "kv_object_refs": f"WITH {_FILES} SELECT concat_ws('-', name, CAST(size % 3 AS VARCHAR), lower(to_hex(crc32))) AS object_id, count(DISTINCT backup_id) AS refs, min(backup_id) AS first_backup, max(backup_id) AS last_backup FROM files GROUP BY 1",
+    "kv_backup_purge": f"WITH {_FILES} SELECT backup_id FROM (SELECT backup_id, row_number() OVER (ORDER BY backup_id DESC) AS rn FROM (SELECT DISTINCT backup_id FROM files)) WHERE rn > 4",
+    "kv_integrity_check": f"""WITH {_FILES} SELECT file_no, 'missing file' AS problem FROM files WHERE file_no % 13 = 0 UNION ALL SELECT file_no, 'wrong size' FROM files WHERE file_no % 13 != 0 AND file_no % 17 = 0
+      UNION ALL SELECT file_no, 'bounds out of order' FROM files WHERE smallest_key > largest_key UNION ALL SELECT file_no, 'unknown family' FROM files WHERE cf_id NOT IN (1, 2)""",
+    "kv_verify_model": f"WITH {_log_sql()}, {_visible_sql(AS_OF)}, model AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE op IN (0, 1) AND seq <= {AS_OF}) WHERE rn = 1 AND op = 1) SELECT m.key, 'lost' AS problem FROM model m LEFT JOIN live l ON m.key = l.key WHERE l.key IS NULL",
+    "rep_rates": """WITH s AS (SELECT user_id, event_id * 250 AS time_millis, sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS operations FROM events),
+      g AS (SELECT *, (time_millis - lag(time_millis) OVER w) / 1000.0::DOUBLE AS gone, operations - lag(operations) OVER w AS more FROM s WINDOW w AS (PARTITION BY user_id ORDER BY time_millis))
+      SELECT user_id, time_millis, CAST(more AS DOUBLE) / gone AS rate FROM g WHERE gone > 0""",
+    "rep_percentiles": f"WITH {_VALUES} SELECT event_type, count(*) AS n, min(value) AS min, max(value) AS max, {_percentile(0.05)} AS p05, {_percentile(0.5)} AS p50, {_percentile(0.95)} AS p95 FROM vals GROUP BY event_type",
+    "rep_histogram": f"WITH {_VALUES} SELECT event_type, CASE WHEN micros <= 10 THEN '<=10' WHEN micros <= 100 THEN '<=100' WHEN micros <= 1000 THEN '<=1000' WHEN micros <= 10000 THEN '<=10000' ELSE '>10000' END AS bucket, count(*) AS n FROM vals GROUP BY 1, 2",
+    "rep_operation_stats": f"WITH {_VALUES} SELECT event_type, count(*) AS n, round(sum(micros), 2) AS total, round(avg(micros), 4) AS avg, max(micros) AS max, count(*) FILTER (micros >= 10000) AS slow FROM vals GROUP BY event_type",
+    "rep_fault_counts": "SELECT event_type AS kind, count(*) AS n, count(*) FILTER (event_id % 4 = 0) AS recovered, count(*) FILTER (event_id % 4 = 1) AS detected, count(*) FILTER (event_id % 4 = 2) AS unexpected FROM events GROUP BY event_type",
+    "rep_throughput_drop": f"WITH {_VALUES}, q AS (SELECT event_type, {_percentile(0.05)} AS p05, {_percentile(0.5)} AS p50 FROM vals GROUP BY event_type) SELECT event_type, round(CASE WHEN p50 > 0 THEN greatest(0.0, 1 - p05 / p50) ELSE 0.0 END, 9) AS drop FROM q",
+    "rep_run_summary": f"""WITH {_VALUES}, s AS (SELECT *, id % 9 + 1 AS span, row_number() OVER (PARTITION BY user_id ORDER BY id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM vals),
+      mid AS (SELECT user_id, percentile_disc(0.5) WITHIN GROUP (ORDER BY span) AS middle FROM s GROUP BY user_id),
+      kept AS (SELECT s.* FROM s JOIN mid USING (user_id) WHERE (i > 2 OR n <= 2) AND (NOT (i = n AND span * 2 < middle) OR n = 1)),
+      q AS (SELECT user_id, count(*) AS n, min(value) AS min, max(value) AS max, {_percentile(0.05)} AS p05, {_percentile(0.5)} AS p50, {_percentile(0.95)} AS p95 FROM kept GROUP BY user_id)
+      SELECT *, round(CASE WHEN p50 > 0 THEN greatest(0.0, 1 - p05 / p50) ELSE 0.0 END, 9) AS drop FROM q""",
+    "rep_reclamation": "SELECT count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS success, count(*) FILTER (event_id % 3 = 1) AS backoff, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS shrink_bytes FROM events",
+    "rep_amplification": f"WITH {_FILES} SELECT cf_id, CAST(sum(size) AS DOUBLE) / CAST(sum(size) FILTER (level > 0) AS DOUBLE) AS amplification FROM files GROUP BY cf_id",
+}
+#: DuckDB's name of the text type, where a mapping's text is shared.
+ORACLES = {k: v.replace("AS STRING)", "AS VARCHAR)") for k, v in ORACLES.items()}

@@ -4,8 +4,9 @@ A document's shingles are hashed and ordered from rare to frequent. Two sets tha
 so documents that name one such shingle form a group. Inside a group, rows sorted by size are cut into tiles; only tiles whose sizes allow the similarity meet, and a pair's bitmaps
 bound its overlap from above by bit counts. What passes is intersected exactly.
 
-Equal sets are one class from the start. A first round checks each member of a group against its neighbour by size and joins what links; the second checks only pairs of
-different components. So a group of any number of near copies costs about one check a member, and still no link between components is lost.
+Equal sets are one class from the start. Bitmaps are compared first for neighbours by size in each group; what passes joins families, and a group is compared in full only across the
+families that are left in it. A family's rows, each once, are then cut into size-banded tiles for exact intersection, where a pair that is joined already needs no check. So pairs are
+never written out: a stage gives at most one pair a row, and a group of any number of near copies stays linear in what is shuffled, but no link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from .components import components
 
 #: Cells of the sketch that tells frequent shingles; slices in which it is summed.
 CELLS, SLICES = 1 << 18, 32
-#: Rows of a tile.
-TILE = 1024
+#: Rows of a tile of bitmaps; shingles of a tile of arrays.
+TILE, TILE_SHINGLES = 1024, 1_000_000
 ROW_SCHEMA = "doc_id long, n long, k1 long, k2 long, bitmap binary, prefix array<bigint>"
 
 
@@ -89,8 +90,8 @@ def _sum_slices(table: pa.Table) -> pa.Table:
 
 
 def _bits(n: np.ndarray) -> np.ndarray:
-    """Width of a bitmap: the power of two at or above four times the set's size, 64 at least."""
-    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64))
+    """Width of a bitmap: the power of two at or above twice the set's size, 64 at least."""
+    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
 
 
 def _keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,45 +168,104 @@ def _bound(percent: int):
     return bound
 
 
-def _tiles(percent: int):
-    """Compares the rows of each tile pair: columns token, i, j, side, sid, comp, n, bitmap, ordered by token, i and j. Gives pairs of different components that bitmaps allow."""
-
-    def pairs(rows: list[dict]):
-        rows.sort(key=lambda r: (r["n"], r["sid"]))
-        n = np.array([r["n"] for r in rows])
-        comp, side = np.array([r["comp"] for r in rows]), np.array([r["side"] for r in rows])
-        one = rows[0]["i"] == rows[0]["j"]
-        raw = [np.frombuffer(r["bitmap"], np.uint8) for r in rows]
-        stacks: dict[int, np.ndarray] = {}
-        for x in range(len(rows) - 1):
-            to = int(np.searchsorted(n * percent, 100 * n[x], "right"))
-            y = np.arange(x + 1, to)
-            y = y[(comp[y] != comp[x]) & (one | (side[y] != side[x]))]
-            if not len(y):
-                continue
-            width = len(raw[x]) * 8
-            if width not in stacks:
-                stacks[width] = np.stack([_bitmap(r, width) if len(r) * 8 >= width else np.zeros(width // 64, np.uint64) for r in raw])
-            mine, other = stacks[width][x], stacks[width][y]
-            o = np.minimum(n[x] - np.bitwise_count(mine & ~other).sum(1, dtype=np.int64), n[y] - np.bitwise_count(other & ~mine).sum(1, dtype=np.int64))
-            for k in y[_fits(o, n[x], n[y], percent)]:
+class _Joined:
+    """Which labels have been joined so far."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = x = self.above.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        self.above[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _passing(rows: list[dict], bitmaps: list[np.ndarray], percent: int, joined: _Joined, check=None):
+    """Pairs of rows (sid, comp, n, side) whose labels are not joined and whose bitmaps, and check(x, y) if given, allow the similarity; each joins its labels. Rows are sorted by size."""
+    n, side = np.array([r["n"] for r in rows]), np.array([r["side"] for r in rows])
+    one = rows[0]["i"] == rows[0]["j"]
+    stacks: dict[int, np.ndarray] = {}
+    for x in range(len(rows) - 1):
+        to = int(np.searchsorted(n * percent, 100 * n[x], "right"))
+        y = np.arange(x + 1, to)
+        if not one:
+            y = y[side[y] != side[x]]
+        mine = joined.top(rows[x]["comp"])
+        y = np.array([k for k in y if joined.top(rows[k]["comp"]) != mine], np.int64)
+        if not len(y):
+            continue
+        width = len(bitmaps[x]) * 8
+        if width not in stacks:
+            stacks[width] = np.stack([_bitmap(r, width) if len(r) * 8 >= width else np.zeros(width // 64, np.uint64) for r in bitmaps])
+        own, other = stacks[width][x], stacks[width][y]
+        o = np.minimum(n[x] - np.bitwise_count(own & ~other).sum(1, dtype=np.int64), n[y] - np.bitwise_count(other & ~own).sum(1, dtype=np.int64))
+        for k in y[_fits(o, n[x], n[y], percent)]:
+            if joined.top(rows[k]["comp"]) != joined.top(rows[x]["comp"]) and (check is None or check(x, k)):
+                joined.join(rows[k]["comp"], rows[x]["comp"])
                 yield min(rows[x]["sid"], rows[k]["sid"]), max(rows[x]["sid"], rows[k]["sid"])
 
+
+def _groups(batches, *names: str):
+    """Lists of rows with equal values of `names`, from batches ordered by them; sorted by size."""
+    held, key = [], None
+    for batch in batches:
+        for r in batch.to_pylist():
+            k = tuple(r[c] for c in names)
+            if k != key and held:
+                yield sorted(held, key=lambda r: (r["n"], r["sid"]))
+                held = []
+            held.append(r)
+            key = k
+    if held:
+        yield sorted(held, key=lambda r: (r["n"], r["sid"]))
+
+
+def _batches(pairs):
+    """Pairs as record batches."""
+    held = []
+    for p in pairs:
+        held.append(p)
+        if len(held) == 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=["a", "b"])
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], names=["a", "b"])
+
+
+def _tiles(percent: int):
+    """Bitmap tiles (token, i, j, side, sid, comp, n, bitmap): pairs that join families, one at most for each row."""
+
     def compare(batches):
-        held, key = [], None
-        for batch in batches:
-            found = set()
-            for r in batch.to_pylist():
-                k = (r["token"], r["i"], r["j"])
-                if k != key and held:
-                    found.update(pairs(held))
-                    held = []
-                held.append(r)
-                key = k
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
-        if held:
-            found = list(set(pairs(held)))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+        yield from _batches(p for rows in _groups(batches, "token", "i", "j") for p in _passing(rows, [np.frombuffer(r["bitmap"], np.uint8) for r in rows], percent, _Joined()))
+
+    return compare
+
+
+def _exact(percent: int):
+    """Tiles of arrays (comp is the component so far): pairs that link, one at most for each row."""
+
+    def links(rows: list[dict]):
+        sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+        bitmaps = []
+        for x, w in zip(sets, _bits(np.array([len(x) for x in sets])), strict=True):
+            bits = np.zeros(int(w), np.uint8)
+            bits[(x & np.uint64(w - 1)).astype(np.int64)] = 1
+            bitmaps.append(np.packbits(bits))
+
+        def check(i, j):
+            x, y = sets[i], sets[j]
+            o = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            return _fits(o, len(x), len(y), percent)
+
+        return _passing(rows, bitmaps, percent, _Joined(), check)
+
+    def compare(batches):
+        yield from _batches(p for rows in _groups(batches, "family", "i", "j") for p in links(rows))
 
     return compare
 
@@ -217,30 +277,19 @@ def _arrays(size: int):
         for batch in chunks(batches, 2 << 20):
             values, bounds = shingles(*utf8(batch.column("text")), size)
             k1, k2 = _keys(values, bounds)
-            own = np.flatnonzero((k1 == batch.column("k1").to_numpy()) & (k2 == batch.column("k2").to_numpy()))
-            data = values.view(np.uint8)
-            column = binary(data, bounds * 8)
-            yield pa.RecordBatch.from_arrays([batch.column("sid").take(pa.array(own)), column.take(pa.array(own))], names=["sid", "shingles"])
+            own = pa.array(np.flatnonzero((k1 == batch.column("k1").to_numpy()) & (k2 == batch.column("k2").to_numpy())))
+            column = binary(values.view(np.uint8), bounds * 8)
+            yield pa.RecordBatch.from_arrays([batch.column("sid").take(own), batch.column("family").take(own), batch.column("n").take(own), column.take(own)], names=["sid", "family", "n", "shingles"])
 
     return arrays
 
 
-def _intersect(percent: int):
-    """Keeps pairs whose sorted arrays overlap enough."""
-
-    def intersect(batches):
-        for batch in chunks(batches, 4 << 20, "sa"):
-            (da, oa), (db, ob) = utf8(batch.column("sa")), utf8(batch.column("sb"))
-            a, b = np.ascontiguousarray(da).view(np.uint64), np.ascontiguousarray(db).view(np.uint64)
-            oa, ob, keep = oa // 8, ob // 8, np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = a[oa[i] : oa[i + 1]], b[ob[i] : ob[i + 1]]
-                at = np.searchsorted(y, x)
-                o = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                keep[i] = _fits(o, len(x), len(y), percent)
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
-
-    return intersect
+def _meetings(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """For rows (key, tile, n, ...): each row once for every pair of tiles (i, j) of its key whose sizes allow the similarity, side the row's own."""
+    spans = rows.groupBy(key, "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    meets = spans.select(key, F.col("tile").alias("i"), "most").join(spans.select(key, F.col("tile").alias("j"), "least"), key).where((F.col("i") <= F.col("j")) & (F.col("least") * percent <= F.col("most") * 100))
+    sides = meets.select(key, "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("tile"))
+    return rows.join(sides, [key, "tile"]).withColumnRenamed("tile", "side")
 
 
 def _pair(df: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -264,44 +313,47 @@ def jaccard_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     full = described.where("n > 0")
     sets = stored(full.dropDuplicates(["k1", "k2"]).withColumn("sid", F.monotonically_increasing_id()), "jaccard-sets")
 
-    def bounded(pairs: DataFrame) -> DataFrame:
-        both = _pair(pairs, sets, ("n", "n"), ("bitmap", "bitmap_")).select("a", "b", "na", "nb", "bitmap_a", "bitmap_b")
-        return both.mapInArrow(_bound(percent), "a long, b long")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-        need = sets.select("sid", "k1", "k2", F.col("doc_id").alias("d")).join(ids, "sid", "left_semi")
-        texts = docs.join(need, F.col("doc_id").eqNullSafe(F.col("d"))).select("sid", "k1", "k2", "text")
-        arrays = stored(texts.mapInArrow(_arrays(size), "sid long, shingles binary"), f"{name}-arrays")
-        both = _pair(pairs, arrays, ("shingles", "s")).select("a", "b", "sa", "sb")
-        return stored(both.mapInArrow(_intersect(percent), "a long, b long").distinct(), f"{name}-links")
-
     by_size = Window.partitionBy("token").orderBy("n", "sid")
+    alike = lambda other: F.least("n", other) * 100 >= F.greatest("n", other) * percent
     named = sets.select(F.explode("prefix").alias("token"), "sid", "n")
-    named = named.select("*", F.lag("sid").over(by_size).alias("before"), F.lead("sid").over(by_size).alias("after"))
-    groups = stored(named.where("before IS NOT NULL OR after IS NOT NULL").drop("after"), "jaccard-groups")
-
-    # First round: neighbours by size in each group; a set is checked against its first and its last such neighbour that bitmaps allow.
-    beside = bounded(groups.where("before IS NOT NULL").select(F.least("before", "sid").alias("a"), F.greatest("before", "sid").alias("b")).distinct())
-    beside = stored(beside.groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max("a"))).alias("as")).select(F.explode("as").alias("a"), "b"), "jaccard-beside")
-    links = verified(beside, "jaccard-first")
-
-    # Second round: pairs of different components in each group.
-    labels = components(links)
-    known = groups.select("token", "sid", "n").join(labels.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
-    mixed_groups = known.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("low != high")
-    mixed_groups = stored(mixed_groups, "jaccard-mixed")
-    twos = bounded(mixed_groups.where("rows = 2").select("a", "b").distinct())
-    more = known.join(mixed_groups.where("rows > 2").select("token"), "token", "left_semi")
-    more = stored(more.withColumn("tile", F.floor((F.row_number().over(by_size) - 1) / TILE).cast("int")), "jaccard-tiled")
-    spans = more.groupBy("token", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    meets = spans.select("token", F.col("tile").alias("i"), "most").join(spans.select("token", F.col("tile").alias("j"), "least"), "token").where((F.col("i") <= F.col("j")) & (F.col("least") * percent <= F.col("most") * 100))
-    sides = meets.select("token", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("tile"))
-    laid = more.join(sides, ["token", "tile"]).join(sets.select("sid", "bitmap"), "sid").select("token", "i", "j", F.col("tile").alias("side"), "sid", "comp", "n", "bitmap")
+    named = named.select("*", *[f(c).over(by_size).alias(f"{c}_{end}") for c in ("sid", "n") for f, end in ((F.lag, "before"), (F.lead, "after"))])
+    # A row whose size fits neither neighbour's fits none in its group.
+    named = named.withColumn("beside", F.when(alike("n_before"), F.col("sid_before"))).where("beside IS NOT NULL OR " + "least(n, n_after) * 100 >= greatest(n, n_after) * %d" % percent)
+    groups = stored(named.select("token", "sid", "n", "beside"), "jaccard-groups")
+
+    beside = groups.where("beside IS NOT NULL").select(F.least("beside", "sid").alias("a"), F.greatest("beside", "sid").alias("b")).distinct()
+    beside = _pair(beside, sets, ("n", "n"), ("bitmap", "bitmap_")).select("a", "b", "na", "nb", "bitmap_a", "bitmap_b")
+    beside = stored(beside.mapInArrow(_bound(percent), "a long, b long"), "jaccard-beside")
+
+    # Groups in which several families are left; in a group of two the only pair has been compared.
+    families = components(beside)
+    known = groups.select("token", "sid", "n").join(families.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+    several = known.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high AND rows > 2").select("token")
+    known = stored(known.join(several, "token", "left_semi").withColumn("tile", F.floor((F.row_number().over(by_size) - 1) / TILE).cast("int")), "jaccard-several")
+    laid = _meetings(known, "token", percent).join(sets.select("sid", "bitmap"), "sid").select("token", "i", "j", "side", "sid", "comp", "n", "bitmap")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiled = laid.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_tiles(percent), "a long, b long")
-    rest = stored(twos.union(tiled).distinct().join(beside, ["a", "b"], "left_anti"), "jaccard-rest")
-    links = links.union(verified(rest, "jaccard-second"))
+    across = stored(laid.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_tiles(percent), "a long, b long").distinct(), "jaccard-across")
+
+    # Exact intersection: each tile in itself, then tiles of one family with each other where several components are left.
+    families = components(beside.union(across)).select(F.col("id").alias("sid"), F.col("root").alias("family"))
+    need = sets.select("sid", "k1", "k2", "n", F.col("doc_id").alias("d")).join(families, "sid")
+    texts = docs.join(need, F.col("doc_id").eqNullSafe(F.col("d"))).select("sid", "family", "n", "k1", "k2", "text")
+    arrays = stored(texts.mapInArrow(_arrays(size), "sid long, family long, n long, shingles binary").dropDuplicates(["sid"]), "jaccard-arrays")
+    cut = F.floor(F.sum("n").over(Window.partitionBy("family").orderBy("n", "sid")) / TILE_SHINGLES).cast("int")
+    tiled = stored(arrays.select("sid", "family", "n").withColumn("tile", cut), "jaccard-tiled")
+    schema, columns = "a long, b long", ["family", "i", "j", "side", "sid", "comp", "n", "shingles"]
+
+    def intersected(rows: DataFrame, name: str) -> DataFrame:
+        full = rows.join(arrays.select("sid", "shingles"), "sid").select(*columns)
+        return stored(full.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_exact(percent), schema), name)
+
+    links = intersected(tiled.select("*", F.col("tile").alias("i"), F.col("tile").alias("j"), F.col("tile").alias("side"), F.col("sid").alias("comp")), "jaccard-inside")
+    wide = tiled.groupBy("family").agg(F.max("tile").alias("tiles"), F.min("tile").alias("from")).where("tiles > from").select("family")
+    if not wide.isEmpty():
+        left = tiled.join(wide, "family", "left_semi").join(components(links).withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+        open_families = left.groupBy("family").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("family")
+        left = stored(left.join(open_families, "family", "left_semi"), "jaccard-open")
+        links = links.union(intersected(_meetings(left, "family", percent).where("i < j"), "jaccard-between"))
 
     roots = components(links)
     members = described.select("doc_id", "n", "k1", "k2").join(sets.select("k1", "k2", "sid"), ["k1", "k2"], "left").join(roots.withColumnRenamed("id", "sid"), "sid", "left")

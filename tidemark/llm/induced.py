@@ -73,29 +73,29 @@ def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sizes: np.ndarray)
 
 def _doubled(names: np.ndarray) -> np.ndarray:
     """Suffix order of a string over a large alphabet, whose buckets are too many to scan: ranks of doubled lengths, only where there are ties."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    rank = np.empty(n, np.int64)
-    first = np.append(True, names[order][1:] != names[order][:-1])
-    heads = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank[order] = heads
-    step = 1
-    while True:
-        alone = first & np.append(first[1:], True)
-        tied = np.flatnonzero(~alone)
-        if not len(tied):
-            return order
+    n, step = len(names), 1
+    base = int(names.max()) + 2
+    if base < 1 << 20:  # three names in one key
+        after = np.concatenate([names + 1, np.zeros(2, np.int64)])
+        names, step = (after[:-2] * base + after[1:-1]) * base + after[2:], 3
+    order = np.argsort(names)
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1  # the end is smaller than all
+    first = np.append(True, np.diff(names[order]) != 0)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    tied = np.flatnonzero(~(first & np.append(first[1:], True)))
+    while len(tied):
         items = order[tied]
-        after = items + step
-        follow = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        sub = np.lexsort((follow, rank[items]))
-        order[tied] = items[sub]
-        group, follow = rank[items][sub], follow[sub]
-        new = np.append(True, (group[1:] != group[:-1]) | (follow[1:] != follow[:-1]))
-        first[tied] = new
-        heads = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
-        rank[order[tied]] = heads
+        # Tied suffixes stand in groups, by rank; one key sorts each group by what follows.
+        key = rank[items] * (n + 1) + rank[np.minimum(items + step, n)] + 1
+        sub = np.argsort(key)
+        items, key = items[sub], key[sub]
+        order[tied] = items
+        new = np.append(True, key[1:] != key[:-1])
+        rank[items] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
+        tied = tied[~(new & np.append(new[1:], True))]
         step *= 2
+    return order
 
 
 def suffix_array(s: np.ndarray, few: int = 1024) -> np.ndarray:
@@ -123,7 +123,7 @@ def suffix_array(s: np.ndarray, few: int = 1024) -> np.ndarray:
     same = (size == length[rank[:-1]]) & (a + size < n) & (b + size < n)
     live = np.flatnonzero(same)
     for t in range(64):
-        equal = s[a[live] + t] == s[b[live] + t]
+        equal = letters[a[live] + t] == letters[b[live] + t]
         same[live[~equal]] = False
         live = live[equal & (size[live] > t)]
     if len(live):  # what is longer is compared by hashes of all its letters

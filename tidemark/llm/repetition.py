@@ -72,7 +72,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         inside = inside[inside + width <= n]
         inside = inside[doc[inside] == doc[inside + width - 1]]
         hashes = window_hashes(salted, width)
-        keys = hashes[inside] ^ own[doc[inside]]
+        keys = hashes[inside] ^ own[inside]
 
         def same(i, j, width=width, inside=inside):
             i, j = inside[i], inside[j]

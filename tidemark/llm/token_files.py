@@ -60,7 +60,8 @@ def write_token_files(documents: DataFrame, target: str, path: str, end_id: int,
             laid = ids.astype(f"<u{width}").tobytes()
             frames = [press.compress(laid[width * offsets[i] : width * offsets[i + 1]]) for i in range(batch.num_rows)]
             docs = batch.column("doc_id").to_pylist()
-            row = {"part": part, "block": number, "first_doc": docs[0], "last_doc": docs[-1], "n_ids": len(ids), "width": width, "dictionary": sha, "doc_ids": docs, "counts": np.diff(offsets).tolist(), "ends": np.cumsum([len(f) for f in frames]).tolist(), "data": b"".join(frames)}
+            named = [d for d in docs if d is not None]
+            row = {"part": part, "block": number, "first_doc": min(named, default=None), "last_doc": max(named, default=None), "n_ids": len(ids), "width": width, "dictionary": sha, "doc_ids": docs, "counts": np.diff(offsets).tolist(), "ends": np.cumsum([len(f) for f in frames]).tolist(), "data": b"".join(frames)}
             yield pa.RecordBatch.from_pylist([row], schema)
 
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("dictionary", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int64())), ("data", pa.binary())])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,12 +15,15 @@ def components(links: DataFrame) -> DataFrame:
     Links may repeat or join an id to itself; empty links give no rows. A hub's links are only ever counted by partial sums or joined, never gathered.
     """
     links = stored(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    labels = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().select("id", F.col("id").alias("root"))
+    labels = stored(links.select(F.col("a").alias("id")).union(links.select("b")).distinct().select("id", F.col("id").alias("root")), "labels")
     while not links.isEmpty():
         ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = stored(ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).select(F.col("a").alias("v"), "to"), "links-to")
         name = lambda df, c: df.join(to.select(F.col("v").alias(f"v_{c}"), F.col("to").alias(f"to_{c}")), F.col(c) == F.col(f"v_{c}"), "left").withColumn(c, F.coalesce(f"to_{c}", c)).drop(f"v_{c}", f"to_{c}")
+        old = (links, labels, to)
         labels = stored(name(labels, "root"), "labels")
         links = name(name(links, "a"), "b").where("a != b")
         links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        dropped(*old)
+    dropped(links)
     return labels

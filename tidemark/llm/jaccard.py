@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, binary, chunks, mixed, ship, stored, utf8, window_hashes, words_of
+from .common import LOWER, binary, chunks, dropped, mixed, ship, stored, utf8, window_hashes, words_of
 from .components import components
 
 #: Cells of the sketch that tells frequent shingles; slices in which it is summed.
@@ -312,6 +312,8 @@ def jaccard_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     described = stored(docs.mapInArrow(_describe(size, percent, classes), ROW_SCHEMA), "jaccard-rows")
     full = described.where("n > 0")
     sets = stored(full.dropDuplicates(["k1", "k2"]).withColumn("sid", F.monotonically_increasing_id()), "jaccard-sets")
+    keys = stored(described.select("doc_id", "n", "k1", "k2"), "jaccard-keys")
+    dropped(described)
 
     by_size = Window.partitionBy("token").orderBy("n", "sid")
     alike = lambda other: F.least("n", other) * 100 >= F.greatest("n", other) * percent
@@ -330,15 +332,18 @@ def jaccard_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     known = groups.select("token", "sid", "n").join(families.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
     several = known.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high AND rows > 2").select("token")
     known = stored(known.join(several, "token", "left_semi").withColumn("tile", F.floor((F.row_number().over(by_size) - 1) / TILE).cast("int")), "jaccard-several")
+    dropped(groups, families)
     laid = _meetings(known, "token", percent).join(sets.select("sid", "bitmap"), "sid").select("token", "i", "j", "side", "sid", "comp", "n", "bitmap")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     across = stored(laid.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_tiles(percent), "a long, b long").distinct(), "jaccard-across")
 
     # Exact intersection: each tile in itself, then tiles of one family with each other where several components are left.
-    families = components(beside.union(across)).select(F.col("id").alias("sid"), F.col("root").alias("family"))
-    need = sets.select("sid", "k1", "k2", "n", F.col("doc_id").alias("d")).join(families, "sid")
+    families = components(beside.union(across))
+    dropped(known, beside, across)
+    need = sets.select("sid", "k1", "k2", "n", F.col("doc_id").alias("d")).join(families.select(F.col("id").alias("sid"), F.col("root").alias("family")), "sid")
     texts = docs.join(need, F.col("doc_id").eqNullSafe(F.col("d"))).select("sid", "family", "n", "k1", "k2", "text")
     arrays = stored(texts.mapInArrow(_arrays(size), "sid long, family long, n long, shingles binary").dropDuplicates(["sid"]), "jaccard-arrays")
+    dropped(families)
     cut = F.floor(F.sum("n").over(Window.partitionBy("family").orderBy("n", "sid")) / TILE_SHINGLES).cast("int")
     tiled = stored(arrays.select("sid", "family", "n").withColumn("tile", cut), "jaccard-tiled")
     schema, columns = "a long, b long", ["family", "i", "j", "side", "sid", "comp", "n", "shingles"]
@@ -350,14 +355,19 @@ def jaccard_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     links = intersected(tiled.select("*", F.col("tile").alias("i"), F.col("tile").alias("j"), F.col("tile").alias("side"), F.col("sid").alias("comp")), "jaccard-inside")
     wide = tiled.groupBy("family").agg(F.max("tile").alias("tiles"), F.min("tile").alias("from")).where("tiles > from").select("family")
     if not wide.isEmpty():
-        left = tiled.join(wide, "family", "left_semi").join(components(links).withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+        parts_so_far = components(links)
+        left = tiled.join(wide, "family", "left_semi").join(parts_so_far.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
         open_families = left.groupBy("family").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("family")
         left = stored(left.join(open_families, "family", "left_semi"), "jaccard-open")
-        links = links.union(intersected(_meetings(left, "family", percent).where("i < j"), "jaccard-between"))
-
-    roots = components(links)
-    members = described.select("doc_id", "n", "k1", "k2").join(sets.select("k1", "k2", "sid"), ["k1", "k2"], "left").join(roots.withColumnRenamed("id", "sid"), "sid", "left")
+        between = intersected(_meetings(left, "family", percent).where("i < j"), "jaccard-between")
+        roots = components(links.union(between))
+        dropped(parts_so_far, left, between)
+    else:
+        roots = components(links)
+    dropped(arrays, tiled, links)
+    members = keys.join(sets.select("k1", "k2", "sid"), ["k1", "k2"], "left").join(roots.withColumnRenamed("id", "sid"), "sid", "left")
     members = stored(members.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("root")), "jaccard-members")
+    dropped(keys, sets, roots)
     named = members.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return members.join(named, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

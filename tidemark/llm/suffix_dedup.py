@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import binary, chunks, mixed, ship, stored, utf8, window_hashes
+from .common import binary, chunks, dropped, mixed, ship, stored, utf8, window_hashes
 from .induced import common_prefixes, suffix_array
 
 GRAM = 32
@@ -176,7 +176,7 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
     twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     place = F.struct("doc_id", "tkey", "start")
     kinds = found.join(twice, "anchor", "left_semi").groupBy("anchor", "seg").agg(F.first("run").alias("run"), F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n"))
-    kinds = stored(kinds, "stretch-kinds")
+    kinds = kinds_table = stored(kinds, "stretch-kinds")
     hot = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > MOST_STRETCHES).select("anchor", F.lit(True).alias("hot"))
     kinds = kinds.join(hot, "anchor", "left")
     # Two places of a stretch whose content is found more than once; repeated rows share one place, which is then sent twice.
@@ -186,6 +186,7 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
     texts = keyed.where(F.octet_length("text") >= length).join(wanted, (F.col("tkey") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "wanted")
     pieces = texts.mapInArrow(_cut(length), "anchor long, seg long, which int, hot boolean, bytes binary")
     pieces = stored(pieces, "stretch-bytes")
+    dropped(kinds_table)
     bounds = spark.conf.get("spark.sql.shuffle.partitions")
     dealt = pieces.where("NOT hot").repartition(int(bounds), "anchor").sortWithinPartitions("anchor")
     sorted_spans = dealt.mapInArrow(_sort(length), "anchor long, seg long, first int, last int")
@@ -194,8 +195,11 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
     single = strings.where("which = 0").join(again, ["anchor", "h1", "h2"], "left_semi").select("anchor", "seg", F.col("place").alias("first"), F.col("place").alias("last"))
     verdicts = sorted_spans.unionByName(single).groupBy("anchor", "seg").agg(F.collect_set(F.struct("first", "last")).alias("parts"))
     verdicts = stored(verdicts, "stretch-verdicts")
+    dropped(pieces)
     spans = found.join(verdicts, ["anchor", "seg"]).select("doc_id", "tkey", F.explode(F.transform("parts", lambda p: F.struct((F.col("start") + p["first"]).alias("a"), (F.col("start") + p["last"] + length).alias("b")))).alias("s"))
-    return stored(spans.groupBy("doc_id", "tkey").agg(F.collect_list("s").alias("spans")), "spans")
+    spans = stored(spans.groupBy("doc_id", "tkey").agg(F.collect_list("s").alias("spans")), "spans")
+    dropped(found, verdicts)
+    return spans
 
 
 def _kept(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import dropped, stored
 from tidemark.llm.jaccard import jaccard_classes
 from tidemark.llm.mixing import WEIGHTS, mix
 from tidemark.llm.packing import pack_documents
@@ -60,6 +60,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -29,10 +29,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates (five-word shingles, similarity 0.8): the one of the smallest doc_id."""
     classes = stored(jaccard_classes(docs, size=5, percent=80), "pipeline-classes")
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
-    rows = docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("id")))
-    again = rows.where("rows > 1").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    return rows.where("rows = 1").select(*COLUMNS).unionByName(again)
+    # Only ids that go or come more than once are looked up: they are far fewer than those that stay.
+    is_first = F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), 1).otherwise(0)
+    other = stored(classes.groupBy(F.col("doc_id").alias("id")).agg(F.sum(is_first).alias("firsts")).where("firsts != 1"), "pipeline-others")
+    rows, same_id = docs.select(*COLUMNS), F.col("doc_id").eqNullSafe(F.col("id"))
+    again = rows.join(other.where("firsts > 1"), same_id).select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return rows.join(other, same_id, "left_anti").unionByName(again)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

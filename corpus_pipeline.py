@@ -32,9 +32,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Only ids that go or come more than once are looked up: they are far fewer than those that stay.
     is_first = F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), 1).otherwise(0)
     other = stored(classes.groupBy(F.col("doc_id").alias("id")).agg(F.sum(is_first).alias("firsts")).where("firsts != 1"), "pipeline-others")
-    rows, same_id = docs.select(*COLUMNS), F.col("doc_id").eqNullSafe(F.col("id"))
-    again = rows.join(other.where("firsts > 1"), same_id).select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    return rows.join(other, same_id, "left_anti").unionByName(again)
+    # One plan at every size: texts are dealt by doc_id once, and both parts of the result read that shuffle.
+    marked = docs.select(*COLUMNS).join(other.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    again = marked.where("firsts > 1").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return marked.where("firsts IS NULL").select(*COLUMNS).unionByName(again)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,3 +174,14 @@ def test_pipeline_stages(spark, docs):
     mixed = corpus_pipeline.source_mix(spark, cut, "")
     assert mixed.count() == sum(r.copies for r in mixing.mix(cut, mixing.WEIGHTS).collect())
     assert corpus_pipeline.packing(spark, mixed, "").count() >= mixed.count()
+
+
+def test_near_duplicates_repeated_ids(spark):
+    base = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    near = base[2].replace("c30 ", "other ")
+    texts = [(1, base[0]), (1, base[0]), (2, base[0]), (None, base[1]), (None, base[1]), (5, base[2]), (6, near), (7, None), (8, ""), (9, base[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, base[0]), (None, base[1]), (5, base[2]), (7, None), (8, ""), (9, base[3])], key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0

@@ -368,7 +368,8 @@ def jaccard_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     members = keys.join(sets.select("k1", "k2", "sid"), ["k1", "k2"], "left").join(roots.withColumnRenamed("id", "sid"), "sid", "left")
     members = stored(members.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("root")), "jaccard-members")
     dropped(keys, sets, roots)
-    named = members.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Stored, so that the join below deals members anew and a large component's rows can be split over tasks.
+    named = stored(members.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-named")
     return members.join(named, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

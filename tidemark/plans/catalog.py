@@ -66,6 +66,41 @@ def kv_compact_live(spark, d):
     return _plain(visibility.visible(m.compacted(log, AS_OF), None))
 
 
+def _newest(log: DataFrame) -> int:
+    """The newest sequence number, by a one-row aggregate; -1 for an empty log."""
+    return log.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("seq")).head().seq
+
+
+def kv_live_as_of_whole(spark, d):
+    log = _log(spark, d)
+    return _plain(visibility.visible(log, _newest(log) * 9 // 10))
+
+
+def kv_verify_model_whole(spark, d):
+    log = _log(spark, d)
+    return m.verify_model(visibility.latest(log).where("op = 1"), visibility.visible(log)).select("key", "problem")
+
+
+def kv_snapshot_diff_whole(spark, d):
+    log = _log(spark, d)
+    newest = _newest(log)
+    return reads.snapshot_diff(log, newest * 4 // 9, newest).drop("cf_id")
+
+
+def _verdicts_whole(spark, d):
+    log = _log(spark, d)
+    return m.compaction_verdicts(log.where("op != 3"), _newest(log))
+
+
+def kv_compact_dropped_whole(spark, d):
+    return _verdicts_whole(spark, d).groupBy(F.col("op").cast("int").alias("op")).agg(F.count(F.lit(1)).alias("ops"), F.count_if(~F.col("keep")).alias("dropped"))
+
+
+def kv_compact_live_whole(spark, d):
+    log = _log(spark, d)
+    return _plain(visibility.visible(m.compacted(log.where("op != 3"), _newest(log))))
+
+
 def kv_integrity_check(spark, d):
     files = _files(spark, d)
     present = files.where("file_no % 13 != 0").select("file_no", F.when(F.col("file_no") % 17 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
@@ -158,6 +193,27 @@ QUERIES = {
     "rep_amplification": lambda s, d: _files(s, d).groupBy("cf_id").agg(reports.amplification(F.sum("size"), F.sum(F.when(F.col("level") > 0, F.col("size")))).alias("amplification")),
 }
 
+#: The queries at AS_OF over the whole log instead: what AS_OF leaves out grows with the log. Snapshots are the newest sequence number or a share of it.
+QUERIES |= {
+    "kv_live_as_of_whole": kv_live_as_of_whole,
+    "kv_live_swept_whole": lambda s, d: _plain(visibility.visible(_log(s, d), None, "sweep")),
+    "kv_point_get_whole": lambda s, d: _plain(reads.get(_log(s, d), 149)),
+    "kv_multi_get_whole": lambda s, d: reads.multi_get(_log(s, d), KEYS),
+    "kv_scan_limit_whole": lambda s, d: _plain(reads.scan(_log(s, d), limit=20)),
+    "kv_reverse_scan_whole": lambda s, d: _plain(reads.scan(_log(s, d), reverse=True)),
+    "kv_seek_whole": lambda s, d: _plain(reads.seek(_log(s, d), 50)),
+    "kv_seek_for_prev_whole": lambda s, d: _plain(reads.seek_for_prev(_log(s, d), 50)),
+    "kv_range_scan_whole": lambda s, d: _plain(reads.scan(_log(s, d), low=20, high=90)),
+    "kv_first_last_whole": lambda s, d: reads.first_last(_log(s, d, True)),
+    "kv_counter_families_whole": lambda s, d: visibility.counters(_log(s, d, True)).select("cf_id", "key", "value"),
+    "kv_cf_isolation_whole": lambda s, d: visibility.visible(_log(s, d, True)),
+    "kv_snapshot_diff_whole": kv_snapshot_diff_whole,
+    "kv_compact_survivors_whole": lambda s, d: _verdicts_whole(s, d).where("keep").select("key", "seq", "op"),
+    "kv_compact_dropped_whole": kv_compact_dropped_whole,
+    "kv_compact_live_whole": kv_compact_live_whole,
+    "kv_verify_model_whole": kv_verify_model_whole,
+}
+
 
 def _log_sql(families: bool = False) -> str:
     columns = EVENT_COLUMNS | ({} if families else {"cf_id": "1"})
@@ -179,11 +235,18 @@ _ROWS = "SELECT key, seq, value FROM live"
 _FILES = "files AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in FILES.items()) + " FROM orders)"
 _SCORES = f"""WITH {_FILES}, sums AS (SELECT cf_id, level, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY cf_id, level),
   scores AS (SELECT *, CASE WHEN level = 0 THEN files / 4.0::DOUBLE ELSE bytes / (10485760.0::DOUBLE * pow(10.0::DOUBLE, level - 1)) END AS score FROM sums)"""
-_KEPT = f"""WITH {_log_sql()}, own AS (SELECT *, lag(seq) OVER (PARTITION BY cf_id, key ORDER BY seq DESC) AS newer FROM log WHERE op != 3),
-  verdicts AS (SELECT *, NOT (op != 2 AND (coalesce(newer <= {AS_OF}, false) OR (op = 0 AND seq <= {AS_OF}))) AS keep FROM own)"""
+_TIP = "tip AS (SELECT max(seq) AS newest, max(seq) * 9 // 10 AS late, max(seq) * 4 // 9 AS early FROM log)"
 _VALUES = "vals AS (SELECT event_type, value, user_id, event_id AS id, value * 40 AS micros FROM events)"
 
 
+def _kept_sql(seq: int | str, more: str = "") -> str:
+    return f"""WITH {_log_sql()}, {more}own AS (SELECT *, lag(seq) OVER (PARTITION BY cf_id, key ORDER BY seq DESC) AS newer FROM log WHERE op != 3),
+  verdicts AS (SELECT *, NOT (op != 2 AND (coalesce(newer <= {seq}, false) OR (op = 0 AND seq <= {seq}))) AS keep FROM own)"""
+
+
+_KEPT, _KEPT_WHOLE = _kept_sql(AS_OF), _kept_sql("(SELECT newest FROM tip)", _TIP + ", ")
+
+
 def _counter_sql(seq: int | None, families: bool, columns: str) -> str:
     bound = "" if seq is None else f" WHERE seq <= {seq}"
     return f"""WITH {_log_sql(families)}, own AS (SELECT * FROM log{bound}),
@@ -262,5 +325,27 @@ ORACLES = {
     "rep_reclamation": "SELECT count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS success, count(*) FILTER (event_id % 3 = 1) AS backoff, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS shrink_bytes FROM events",
     "rep_amplification": f"WITH {_FILES} SELECT cf_id, CAST(sum(size) AS DOUBLE) / CAST(sum(size) FILTER (level > 0) AS DOUBLE) AS amplification FROM files GROUP BY cf_id",
 }
+_MODEL = "model AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE op IN (0, 1)) WHERE rn = 1 AND op = 1)"
+ORACLES |= {
+    "kv_live_as_of_whole": f"WITH {_log_sql()}, {_TIP}, {_visible_sql('(SELECT late FROM tip)')} {_ROWS}",
+    "kv_live_swept_whole": _live(_ROWS, None),
+    "kv_point_get_whole": _live(_ROWS + " WHERE key = 149", None),
+    "kv_multi_get_whole": _live(f"SELECT CAST(a.place AS BIGINT) AS place, CAST(a.k AS BIGINT) AS key, value FROM (VALUES {_asked}) AS a(place, k) LEFT JOIN live ON live.key = a.k", None),
+    "kv_scan_limit_whole": _live(_ROWS + " ORDER BY key LIMIT 20", None),
+    "kv_reverse_scan_whole": _live(_ROWS + " ORDER BY key DESC", None),
+    "kv_seek_whole": _live(_ROWS + " WHERE key >= 50 ORDER BY key LIMIT 1", None),
+    "kv_seek_for_prev_whole": _live(_ROWS + " WHERE key <= 50 ORDER BY key DESC LIMIT 1", None),
+    "kv_range_scan_whole": _live(_ROWS + " WHERE key >= 20 AND key < 90", None),
+    "kv_first_last_whole": _live("SELECT cf_id, min(key) AS first_key, max(key) AS last_key, count(*) AS live_keys FROM live GROUP BY cf_id", None, True),
+    "kv_counter_families_whole": _counter_sql(None, True, "cf_id, key"),
+    "kv_cf_isolation_whole": _live("SELECT cf_id, key, seq, value FROM live", None, True),
+    "kv_snapshot_diff_whole": f"""WITH {_log_sql()}, {_TIP}, {_visible_sql("(SELECT early FROM tip)", name="old")}, {_visible_sql(name="new")}
+      SELECT coalesce(o.key, n.key) AS key, o.value AS old_value, n.value AS new_value, CASE WHEN o.seq IS NULL THEN 'added' WHEN n.seq IS NULL THEN 'removed' ELSE 'changed' END AS change
+      FROM old o FULL JOIN new n ON o.key = n.key WHERE o.seq IS DISTINCT FROM n.seq""",
+    "kv_compact_survivors_whole": _KEPT_WHOLE + " SELECT key, seq, CAST(op AS INTEGER) AS op FROM verdicts WHERE keep",
+    "kv_compact_dropped_whole": _KEPT_WHOLE + " SELECT CAST(op AS INTEGER) AS op, count(*) AS ops, count(*) FILTER (NOT keep) AS dropped FROM verdicts GROUP BY op",
+    "kv_compact_live_whole": _live(_ROWS, None),
+    "kv_verify_model_whole": f"WITH {_log_sql()}, {_visible_sql()}, {_MODEL} SELECT m.key, 'lost' AS problem FROM model m LEFT JOIN live l ON m.key = l.key WHERE l.key IS NULL",
+}
 #: DuckDB's name of the text type, where a mapping's text is shared.
 ORACLES = {k: v.replace("AS STRING)", "AS VARCHAR)") for k, v in ORACLES.items()}

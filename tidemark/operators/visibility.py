@@ -11,6 +11,8 @@ from ..functions.codec import ADD, DELETE, DELETE_RANGE, PUT, wrapped, wrapping_
 
 #: Range deletes that are broadcast at most; beyond it keys and ranges are swept together in order.
 BROADCAST_RANGES = 10_000
+#: Places of a block when runs of keys are dealt out, as a power of two.
+BLOCK_BITS = 12
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -76,6 +78,26 @@ def newest_cover(points: DataFrame, tombs: DataFrame, strategy: str = "auto") ->
     return swept.select(*points.columns, cover.alias("cover"))
 
 
+def covered(keys: DataFrame, tombs: DataFrame) -> DataFrame:
+    """Every key with each range delete over it: cf_id, key, seq, for distinct keys (cf_id, key) of any ordered type and tombs (cf_id, begin, end, seq).
+
+    Keys get places in order, a bound the place of the first key at or above it, in two levels: range partitions, then rows. A range is a run of places, so the join
+    is by place and forms no pair that is not in the result. Runs are dealt out in blocks first, so that no array grows with a range.
+    """
+    bounds = tombs.select("cf_id", F.explode(F.array("begin", "end")).alias("key")).distinct()
+    both = bounds.withColumn("is_key", F.lit(0)).unionByName(keys.withColumn("is_key", F.lit(1)))
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(both.repartitionByRange(parts, "cf_id", "key", "is_key").withColumn("part", F.spark_partition_id()))
+    before = dealt.groupBy("part").agg(F.sum("is_key").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("outside"))
+    inside = F.sum("is_key").over(Window.partitionBy("part").orderBy("cf_id", "key", "is_key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("is_key")
+    placed = checkpointed(dealt.withColumn("inside", inside).join(F.broadcast(before), "part").select("cf_id", "key", "is_key", (F.col("inside") + F.col("outside")).alias("place")))
+    at = lambda bound, name: placed.where("is_key = 0").select("cf_id", F.col("key").alias(bound), F.col("place").alias(name))
+    runs = tombs.join(at("begin", "lo"), ["cf_id", "begin"]).join(at("end", "hi"), ["cf_id", "end"]).where("lo < hi").select("seq", "lo", "hi")
+    blocks = runs.select("*", F.explode(F.sequence(F.shiftright("lo", BLOCK_BITS), F.shiftright(F.col("hi") - 1, BLOCK_BITS))).alias("block"))
+    first, last = F.greatest("lo", F.shiftleft("block", BLOCK_BITS)), F.least("hi", F.shiftleft(F.col("block") + 1, BLOCK_BITS)) - 1
+    return blocks.select("seq", F.explode(F.sequence(first, last)).alias("place")).join(placed.where("is_key = 1").drop("is_key"), "place").select("cf_id", "key", "seq")
+
+
 def visible(log: DataFrame, seq: int | None = None, strategy: str = "auto") -> DataFrame:
     """Live puts at `seq` (the newest if None): cf_id, key, seq, value. A key is absent if its newest op is a delete or a newer range delete covers it; an empty value is a value."""
     bounded = as_of(log, seq)
@@ -106,8 +128,8 @@ def counter_history(log: DataFrame, strategy: str = "auto") -> DataFrame:
     """
     points = log.where(F.col("op") != DELETE_RANGE).select("cf_id", "key", "seq", "op", F.coalesce("value", "delta").alias("v"))
     keys = points.select("cf_id", "key").distinct()
-    tombs = log.where(F.col("op") == DELETE_RANGE).select(F.col("cf_id").alias("t_cf"), F.col("key").alias("begin"), F.col("end_key").alias("end"), "seq")
-    resets = keys.join(tombs, (F.col("cf_id") == F.col("t_cf")) & (F.col("begin") <= F.col("key")) & (F.col("key") < F.col("end"))).select("cf_id", "key", "seq", F.lit(DELETE).alias("op"), F.lit(None).cast("long").alias("v"))
+    tombs = log.where(F.col("op") == DELETE_RANGE).select("cf_id", F.col("key").alias("begin"), F.col("end_key").alias("end"), "seq")
+    resets = covered(keys, tombs).select("cf_id", "key", "seq", F.lit(DELETE).alias("op"), F.lit(None).cast("long").alias("v"))
     order = Window.partitionBy("cf_id", "key").orderBy("seq")
     ops = points.unionByName(resets).withColumn("segment", F.sum(F.when(F.col("op") != ADD, 1).otherwise(0)).over(order))
     inside = Window.partitionBy("cf_id", "key", "segment").orderBy("seq")
@@ -119,4 +141,4 @@ def wrapping_sum_over(window) -> F.Column:
     return wrapped(F.sum(F.coalesce("v", F.lit(0)).cast("decimal(20,0)")).over(window).cast("decimal(38,0)"))
 
 
-__all__ = ["as_of", "counter_history", "counters", "fragments", "latest", "newest_cover", "ranges", "visible", "wrapping_sum"]
+__all__ = ["as_of", "counter_history", "counters", "covered", "fragments", "latest", "newest_cover", "ranges", "visible", "wrapping_sum"]

@@ -206,6 +206,7 @@ QUERIES |= {
     "kv_range_scan_whole": lambda s, d: _plain(reads.scan(_log(s, d), low=20, high=90)),
     "kv_first_last_whole": lambda s, d: reads.first_last(_log(s, d, True)),
     "kv_counter_families_whole": lambda s, d: visibility.counters(_log(s, d, True)).select("cf_id", "key", "value"),
+    "kv_counter_history_whole": lambda s, d: visibility.counter_history(_log(s, d)).select("key", "seq", "value"),
     "kv_cf_isolation_whole": lambda s, d: visibility.visible(_log(s, d, True)),
     "kv_snapshot_diff_whole": kv_snapshot_diff_whole,
     "kv_compact_survivors_whole": lambda s, d: _verdicts_whole(s, d).where("keep").select("key", "seq", "op"),
@@ -338,6 +339,10 @@ ORACLES |= {
     "kv_range_scan_whole": _live(_ROWS + " WHERE key >= 20 AND key < 90", None),
     "kv_first_last_whole": _live("SELECT cf_id, min(key) AS first_key, max(key) AS last_key, count(*) AS live_keys FROM live GROUP BY cf_id", None, True),
     "kv_counter_families_whole": _counter_sql(None, True, "cf_id, key"),
+    "kv_counter_history_whole": f"""WITH {_log_sql()}, keys AS (SELECT DISTINCT key FROM log WHERE op != 2),
+      ops AS (SELECT key, seq, op, coalesce(value, delta) AS v FROM log WHERE op != 2 UNION ALL SELECT k.key, t.seq, 0, NULL FROM keys k JOIN log t ON t.op = 2 AND t.key <= k.key AND k.key < t.end_key),
+      cut AS (SELECT *, sum(CASE WHEN op != 3 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq) AS segment FROM ops)
+      SELECT key, seq, CASE WHEN max(CASE WHEN op != 0 THEN 1 ELSE 0 END) OVER w = 1 THEN CAST(sum(coalesce(v, 0)) OVER w AS BIGINT) END AS value FROM cut WINDOW w AS (PARTITION BY key, segment ORDER BY seq)""",
     "kv_cf_isolation_whole": _live("SELECT cf_id, key, seq, value FROM live", None, True),
     "kv_snapshot_diff_whole": f"""WITH {_log_sql()}, {_TIP}, {_visible_sql("(SELECT early FROM tip)", name="old")}, {_visible_sql(name="new")}
       SELECT coalesce(o.key, n.key) AS key, o.value AS old_value, n.value AS new_value, CASE WHEN o.seq IS NULL THEN 'added' WHEN n.seq IS NULL THEN 'removed' ELSE 'changed' END AS change

@@ -11,14 +11,16 @@ from .common import dropped, stored
 def components(links: DataFrame) -> DataFrame:
     """For links (a, b) of long ids: (id, root) for every linked id, root the same for all that are joined and itself one of them.
 
-    Each round every vertex joins its smallest neighbour, labels and links are renamed, and links within one vertex go: at least half the vertices of each component vanish.
+    Each round every vertex points to its smallest neighbour other than itself. Pointers form trees whose only cycles are two vertices that point to each other, of which the
+    smaller becomes the root; paths are halved until every vertex points to its root, then labels and links are renamed and links within one vertex go. A tree has two vertices
+    at least, so at least half the vertices that still have links vanish each round, and a tree of any depth takes about log2(depth) halvings.
     Links may repeat or join an id to itself; empty links give no rows. A hub's links are only ever counted by partial sums or joined, never gathered.
     """
     links = stored(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     labels = stored(links.select(F.col("a").alias("id")).union(links.select("b")).distinct().select("id", F.col("id").alias("root")), "labels")
     while not links.isEmpty():
         ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = stored(ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).select(F.col("a").alias("v"), "to"), "links-to")
+        to = _rooted(stored(ends.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("v"), "to"), "links-to"))
         name = lambda df, c: df.join(to.select(F.col("v").alias(f"v_{c}"), F.col("to").alias(f"to_{c}")), F.col(c) == F.col(f"v_{c}"), "left").withColumn(c, F.coalesce(f"to_{c}", c)).drop(f"v_{c}", f"to_{c}")
         old = (links, labels, to)
         labels = stored(name(labels, "root"), "labels")
@@ -27,3 +29,15 @@ def components(links: DataFrame) -> DataFrame:
         dropped(*old)
     dropped(links)
     return labels
+
+
+def _rooted(to: DataFrame) -> DataFrame:
+    """Pointers (v, to) followed to their roots. On the first pass a pair that point to each other get the smaller as root."""
+    mutual, moved = True, True
+    while moved:
+        up = to.select(F.col("v").alias("w"), F.col("to").alias("up"))
+        far = F.when(F.col("up") == F.col("v"), F.least("v", "to")).otherwise(F.col("up")) if mutual else F.col("up")
+        further = stored(to.join(up, F.col("to") == F.col("w")).select("v", far.alias("to"), (far != F.col("to")).alias("moved")), "links-to")
+        dropped(to)
+        moved, mutual, to = mutual or not further.where("moved").isEmpty(), False, further
+    return to

@@ -154,11 +154,10 @@ def _bound(percent: int):
                 maps = []
                 for (data, offsets), width in zip(rows, widths, strict=True):
                     stack = np.zeros((len(own), w // 64), np.uint64)
-                    for f in (1, 2):  # sizes of a pair differ by less than two, and so do widths
+                    for f in np.unique(width[own] // w):  # both are powers of two; the wider is folded
                         at = np.flatnonzero(width[own] == w * f)
-                        if len(at):
-                            got = data[offsets[own[at]][:, None] + np.arange(w * f // 8)].reshape(-1).view(np.uint64).reshape(len(at), -1)
-                            stack[at] = got[:, : w // 64] | (got[:, w // 64 :] if f == 2 else 0)
+                        got = data[offsets[own[at]][:, None] + np.arange(w * f // 8)].reshape(-1).view(np.uint64).reshape(len(at), f, w // 64)
+                        stack[at] = np.bitwise_or.reduce(got, axis=1)
                     maps.append(stack)
                 missing_b = np.bitwise_count(maps[0] & ~maps[1]).sum(1, dtype=np.int64)
                 missing_a = np.bitwise_count(maps[1] & ~maps[0]).sum(1, dtype=np.int64)

@@ -1,9 +1,7 @@
-"""The subpackage's queries: the ten operators over their whole tables, and the pipeline."""
+"""The subpackage's queries: the ten operators over their whole tables."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from .chat import OP2_SQL, op2_chat_format
 from .flac import op6_flac_media
 from .jaccard import op5_jaccard_join
@@ -26,7 +24,6 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_token_counts": op9_token_counts,
     "op10_pack": op10_pack,
-    "pipeline": corpus_pipeline.run,
 }
 #: Where SQL over the tables can express a query. The others are tested against brute force.
 ORACLES = {"op1_pareto_mix": OP1_SQL, "op2_chat_format": OP2_SQL, "op7_url_filter": OP7_SQL}

@@ -42,10 +42,34 @@ def has_prefix(key: Column, prefix: bytes) -> Column:
     return key >= F.lit(bytearray(prefix)) if end is None else (key >= F.lit(bytearray(prefix))) & (key < F.lit(bytearray(end)))
 
 
+#: First number of a self-describing value, and the bytes of its header (fixed values).
+VALUE_MAGIC, VALUE_HEADER = 0x4C524E31, 28
+
+
 def value_header(value: Column) -> Column:
-    """The self-describing value's big-endian header: magic, key_id, sequence, size, crc, then the body."""
+    """The self-describing value's big-endian header: magic (4 bytes), key_id (8), sequence (8), size (4), crc (4, unsigned), then the body."""
 
     def number(at: int, size: int) -> Column:
         return F.conv(F.hex(F.substring(value, at, size)), 16, -10 if size == 8 else 10).cast("long")
 
-    return F.struct(number(1, 4).alias("magic"), number(5, 8).alias("key_id"), number(13, 8).alias("sequence"), number(21, 4).alias("size"), number(25, 8).alias("crc"), F.substring(value, 33, 2147483647).alias("body"))
+    return F.struct(number(1, 4).alias("magic"), number(5, 8).alias("key_id"), number(13, 8).alias("sequence"), number(21, 4).alias("size"), number(25, 4).alias("crc"), F.substring(value, VALUE_HEADER + 1, 2147483647).alias("body"))
+
+
+def described_value(key_id: Column, sequence: Column, size: Column, seed: int) -> Column:
+    """A self-describing value of `size` bytes (its header at least): body byte i is the lowest byte of seed + 31 key_id + 17 sequence + i; the checksum covers all but itself."""
+    whole = F.greatest(size, F.lit(VALUE_HEADER)).cast("int")
+
+    def big_endian(n: Column, digits: int) -> Column:
+        return F.unhex(F.lpad(F.hex(n.cast("long")), digits, "0"))
+
+    lead = F.concat(big_endian(F.lit(VALUE_MAGIC), 8), big_endian(key_id, 16), big_endian(sequence, 16), big_endian(whole, 8))
+    body = F.transform(F.sequence(F.lit(VALUE_HEADER), whole - 1), lambda i: F.lpad(F.hex(F.pmod(F.lit(seed) + key_id * 31 + sequence * 17 + i, F.lit(256)).cast("long")), 2, "0"))
+    body = F.when(whole > VALUE_HEADER, F.unhex(F.array_join(body, ""))).otherwise(F.unhex(F.lit("")))
+    return F.concat(lead, big_endian(F.crc32(F.concat(lead, body)), 8), body)
+
+
+def value_problem(value: Column, key_id: Column, sequence: Column) -> Column:
+    """What is wrong with a self-describing value of a key at a sequence, null if nothing is."""
+    h = value_header(value)
+    sound = (h["magic"] == VALUE_MAGIC) & (h["size"] == F.octet_length(value)) & (h["crc"] == F.crc32(F.concat(F.substring(value, 1, VALUE_HEADER - 4), h["body"])))
+    return F.when(value.isNull(), "missing value").when(F.octet_length(value) < VALUE_HEADER, "value too small").when(~sound, "checksum mismatch").when((h["key_id"] != key_id) | (h["sequence"] != sequence), "value mismatch")

@@ -1,4 +1,4 @@
-"""Storage maintenance as queries: compaction, levels, scores, overlap, obsolete files, backups, integrity."""
+"""Maintenance of logs and file tables as queries: compaction, sizes, overlap, obsolete files, backups, integrity."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import DELETE, DELETE_RANGE
 
-#: Files in level 0 that make its score 1; bytes that make level 1's score 1, ten times as many for each level below (fixed values).
-LEVEL0_TRIGGER, LEVEL1_BYTES = 4, 10 * 1024 * 1024
-
-
 def compaction_verdicts(log: DataFrame, retain_seq: int, base_level: bool = True) -> DataFrame:
     """Adds keep: whether compaction keeps an op that no reader at or after `retain_seq` can do without.
 
@@ -28,32 +24,43 @@ def compacted(log: DataFrame, retain_seq: int) -> DataFrame:
     return compaction_verdicts(log, retain_seq, base_level=False).where("keep").drop("keep")
 
 
+def _bytes(column: str):
+    return F.coalesce(F.octet_length(F.col(column).cast("string").cast("binary")), F.lit(0))
+
+
 def approximate_size(log: DataFrame, low, high, cf_id: int = 1) -> DataFrame:
     """Exact bytes of keys and values in [low, high)."""
     own = log.where((F.col("cf_id") == cf_id) & (F.col("key") >= F.lit(low)) & (F.col("key") < F.lit(high)))
-    size = F.octet_length(F.col("key").cast("string").cast("binary")) + F.coalesce(F.octet_length(F.col("value").cast("string").cast("binary")), F.lit(0))
-    return own.agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"), F.count(F.lit(1)).alias("ops"))
+    return own.agg(F.coalesce(F.sum(_bytes("key") + _bytes("value")), F.lit(0)).cast("long").alias("bytes"), F.count(F.lit(1)).alias("ops"))
 
 
-def level_files(manifest: DataFrame) -> DataFrame:
-    return manifest.groupBy("cf_id", "level").agg(F.count(F.lit(1)).alias("files"), F.sum("size").cast("long").alias("bytes"))
+def range_sizes(log: DataFrame, ranges: list[tuple], cf_id: int = 1) -> DataFrame:
+    """approximate_size of several ranges in one scan: place, bytes, ops, in the order asked. Ranges may overlap; an op counts in each that holds it. The list is the caller's own, so it is small."""
+    own = log.where(F.col("cf_id") == cf_id)
+    sums = []
+    for i, (low, high) in enumerate(ranges):
+        inside = (F.col("key") >= F.lit(low)) & (F.col("key") < F.lit(high))
+        sums.append(F.struct(F.lit(i).cast("long").alias("place"), F.coalesce(F.sum(F.when(inside, _bytes("key") + _bytes("value"))), F.lit(0)).cast("long").alias("bytes"), F.count_if(inside).alias("ops")))
+    return own.agg(F.array(*sums).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-def compaction_scores(manifest: DataFrame) -> DataFrame:
-    """Score of each family and level: files over the trigger at level 0, bytes over the level's allowance below."""
-    score = F.when(F.col("level") == 0, F.col("files") / float(LEVEL0_TRIGGER)).otherwise(F.col("bytes") / (float(LEVEL1_BYTES) * F.pow(F.lit(10.0), F.col("level") - 1)))
-    return level_files(manifest).select("cf_id", "level", "files", "bytes", score.alias("score"))
+def live_bytes(live: DataFrame) -> DataFrame:
+    """Keys and bytes of the live set of each family."""
+    return live.groupBy("cf_id").agg(F.count(F.lit(1)).alias("keys"), F.sum(_bytes("key") + _bytes("value")).cast("long").alias("bytes"))
 
 
-def pick_compaction(manifest: DataFrame) -> DataFrame:
-    """The best score of each family; of equal scores the lowest level."""
-    return compaction_scores(manifest).where("level < 6").groupBy("cf_id").agg(F.max(F.struct("score", (-F.col("level")).alias("l"))).alias("best")).select("cf_id", (-F.col("best.l")).alias("level"), F.col("best.score").alias("score"))
+def file_types(files: DataFrame, name: str = "name") -> DataFrame:
+    """Files and bytes by type, told by name: current, lock, info_log, manifest, log, table, temp. Other names are not counted."""
+    of = F.col(name)
+    kind = (
+        F.when(of == "CURRENT", "current").when(of == "LOCK", "lock").when(of.isin("LOG", "LOG.old"), "info_log").when(of.startswith("MANIFEST-"), "manifest")
+        .when(of.endswith(".log"), "log").when(of.endswith(".sst"), "table").when(of.endswith(".dbtmp"), "temp")
+    )
+    return files.where(kind.isNotNull()).groupBy(kind.alias("type")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").cast("long").alias("bytes"))
 
 
-def pending_bytes(manifest: DataFrame) -> DataFrame:
-    """Bytes above each family's allowances."""
-    over = F.when(F.col("score") > 1, F.when(F.col("level") == 0, F.col("bytes")).otherwise(F.col("bytes") - LEVEL1_BYTES * F.pow(F.lit(10.0), F.col("level") - 1))).otherwise(0.0)
-    return compaction_scores(manifest).groupBy("cf_id").agg(F.sum(over).alias("pending_bytes"))
+def level_files(manifest: DataFrame) -> DataFrame:
+    return manifest.groupBy("cf_id", "level").agg(F.count(F.lit(1)).alias("files"), F.sum("size").cast("long").alias("bytes"))
 
 
 def overlaps(files: DataFrame, others: DataFrame, keys: list[str], width: int = 64) -> DataFrame:
@@ -104,7 +111,18 @@ def purge(backups: DataFrame, keep_last: int) -> DataFrame:
     if keep_last < 0:
         raise ValueError("keep_last must not be negative")
     ids = backups.select("backup_id").distinct()
-    return ids.withColumn("newer", F.row_number().over(Window.orderBy(F.col("backup_id").desc()))).where(F.col("newer") > keep_last).drop("newer")
+    return ids.join(ids.orderBy(F.col("backup_id").desc()).limit(keep_last), "backup_id", "left_anti")
+
+
+def purgeable_objects(objects: DataFrame, purged: DataFrame) -> DataFrame:
+    """Content objects (object_id, backup_id) of purged backups that no backup retained holds: what a purge may delete."""
+    gone = objects.join(purged, "backup_id", "left_semi").select("object_id").distinct()
+    return gone.join(objects.join(purged, "backup_id", "left_anti").select("object_id"), "object_id", "left_anti")
+
+
+def orphan_objects(objects: DataFrame, referenced: DataFrame) -> DataFrame:
+    """Content objects present that no backup names."""
+    return objects.join(referenced.select("object_id"), "object_id", "left_anti")
 
 
 def integrity(manifest: DataFrame, present: DataFrame, families: DataFrame) -> DataFrame:
@@ -123,3 +141,16 @@ def verify_model(expected: DataFrame, live: DataFrame) -> DataFrame:
     both = e.join(live.select("cf_id", "key", "seq", "value"), ["cf_id", "key"], "full")
     problem = F.when(F.col("seq").isNull(), "lost").when(F.col("want_seq").isNull(), "unexpected").when(F.col("seq") != F.col("want_seq"), "other version").when(~F.col("value").eqNullSafe(F.col("want")), "other value")
     return both.withColumn("problem", problem).where("problem IS NOT NULL").select("cf_id", "key", "problem")
+
+
+def verify_ledger(ledger: DataFrame, active: DataFrame, live: DataFrame) -> DataFrame:
+    """Checks recent operations (kind WRITE or REMOVE, key, seq) against committed state (key, seq) and the live set (key, seq): key, seq, problem.
+
+    A write counts only while it is its key's committed one; then the live value must be that one. A removed key with no committed value must not be live.
+    """
+    state = active.select("key", F.col("seq").alias("current"))
+    there = live.select("key", F.col("seq").alias("found"))
+    both = ledger.join(state, "key", "left").join(there, "key", "left")
+    write = (F.col("kind") == "WRITE") & (F.col("current") == F.col("seq"))
+    problem = F.when(write & F.col("found").isNull(), "lost").when(write & (F.col("found") != F.col("seq")), "other version").when((F.col("kind") == "REMOVE") & F.col("current").isNull() & F.col("found").isNotNull(), "removed key is live")
+    return both.withColumn("problem", problem).where("problem IS NOT NULL").select("key", "seq", "problem")

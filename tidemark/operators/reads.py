@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codec import has_prefix
+from ..functions.codec import prefix_end
 from .visibility import visible
 
 
+def _lit(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
 def get(log: DataFrame, key, cf_id: int = 1, seq: int | None = None) -> DataFrame:
     """The value of one key, no row if it is absent. Only ops on the key and ranges over it are read."""
     k = F.lit(key)
@@ -28,15 +32,27 @@ def multi_get(log: DataFrame, keys: list, cf_id: int = 1, seq: int | None = None
     return asked.join(live.select("key", "value"), "key", "left").select("place", "key", "value").orderBy("place")
 
 
-def scan(log: DataFrame, cf_id: int = 1, seq: int | None = None, low=None, high=None, prefix: bytes | None = None, reverse: bool = False, limit: int | None = None) -> DataFrame:
-    """Live rows in key order: of [low, high), of a prefix, backwards, or the first `limit`."""
-    live = visible(log.where(F.col("cf_id") == cf_id), seq)
+def bounded(log: DataFrame, low=None, high=None, closed: bool = False) -> DataFrame:
+    """The ops that decide what is live in [low, high) (with closed: [low, high]): ops on keys inside, and range deletes that meet it. The bounds reach the scan of the log."""
+    is_range = F.col("op") == 2
     if low is not None:
-        live = live.where(F.col("key") >= F.lit(low))
+        log = log.where(F.when(is_range, F.col("end_key") > _lit(low)).otherwise(F.col("key") >= _lit(low)))
     if high is not None:
-        live = live.where(F.col("key") < F.lit(high))
-    if prefix is not None:
-        live = live.where(F.col("key").startswith(prefix) if isinstance(prefix, str) else has_prefix(F.col("key"), prefix))
+        log = log.where(F.col("key") <= _lit(high) if closed else F.col("key") < _lit(high))
+    return log
+
+
+def scan(log: DataFrame, cf_id: int = 1, seq: int | None = None, low=None, high=None, prefix: bytes | None = None, reverse: bool = False, limit: int | None = None) -> DataFrame:
+    """Live rows in key order: of [low, high), of a prefix, backwards, or the first `limit`."""
+    if isinstance(prefix, str):
+        low = prefix if low is None else max(low, prefix)
+    elif prefix is not None:
+        end = prefix_end(prefix)
+        low = bytearray(prefix if low is None else max(bytes(low), prefix))
+        high = high if end is None else bytearray(end if high is None else min(bytes(high), end))
+    live = visible(bounded(log.where(F.col("cf_id") == cf_id), low, high), seq)
+    if isinstance(prefix, str):
+        live = live.where(F.col("key").startswith(prefix))
     rows = live.orderBy(F.col("key").desc() if reverse else F.col("key"))
     return rows if limit is None else rows.limit(limit)
 
@@ -48,7 +64,7 @@ def seek(log: DataFrame, target, cf_id: int = 1, seq: int | None = None) -> Data
 
 def seek_for_prev(log: DataFrame, target, cf_id: int = 1, seq: int | None = None) -> DataFrame:
     """The last live row at or below target."""
-    return visible(log.where(F.col("cf_id") == cf_id), seq).where(F.col("key") <= F.lit(target)).orderBy(F.col("key").desc()).limit(1)
+    return visible(bounded(log.where(F.col("cf_id") == cf_id), high=target, closed=True), seq).orderBy(F.col("key").desc()).limit(1)
 
 
 def limited_scan(log: DataFrame, limit: int = 100, cf_id: int = 1) -> tuple[DataFrame, bool]:

@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import ADD, DELETE, DELETE_RANGE, PUT, wrapped, wrapping_sum
+from .ranks import checkpointed, dealt, placed
 
-#: Range deletes that are broadcast at most; beyond it keys and ranges are swept together in order.
-BROADCAST_RANGES = 10_000
+#: Range deletes that are broadcast at most, for every key is held against each of them; beyond it keys and ranges are swept together in order.
+BROADCAST_RANGES = 1000
 #: Places of a block when runs of keys are dealt out, as a power of two.
 BLOCK_BITS = 12
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder of spark.checkpoint.dir; one of our own only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints")
-    return df.checkpoint()
+#: The runs of places [lo, hi) as blocks of 2^level places, at most two a level, as a binary tree over all places has them.
+BLOCKS_SQL = """explode(filter(flatten(transform(sequence(0, CAST(floor(log2(hi - lo)) AS INT) + 1), l -> array(
+  CASE WHEN shiftright(lo + shiftleft(1L, l) - 1, l) < shiftright(hi, l) AND shiftright(lo + shiftleft(1L, l) - 1, l) % 2 = 1 THEN struct(l AS level, shiftright(lo + shiftleft(1L, l) - 1, l) AS block) END,
+  CASE WHEN shiftright(lo + shiftleft(1L, l) - 1, l) < shiftright(hi, l) AND shiftright(hi, l) % 2 = 1 THEN struct(l AS level, shiftright(hi, l) - 1 AS block) END))), b -> b IS NOT NULL)) AS b"""
 
 
 def as_of(log: DataFrame, seq: int | None) -> DataFrame:
@@ -41,14 +36,18 @@ def ranges(log: DataFrame) -> DataFrame:
 def fragments(tombs: DataFrame) -> DataFrame:
     """Disjoint pieces of overlapping ranges with the newest sequence number that covers each: cf_id, at, range_seq (null where nothing covers any more).
 
-    Bounds get a place in order within their family; each range covers a run of places, of which the newest wins.
+    Bounds get a place in order; a range is a run of places, cut into blocks of powers of two, and a piece takes the newest of the blocks that hold it. So n ranges give
+    some n log n rows however they nest.
     """
-    bounds = tombs.select("cf_id", F.explode(F.array("begin", "end")).alias("at")).distinct()
-    placed = bounds.withColumn("place", F.row_number().over(Window.partitionBy("cf_id").orderBy("at")))
-    first, last = placed.select("cf_id", F.col("at").alias("begin"), F.col("place").alias("lo")), placed.select("cf_id", F.col("at").alias("end"), F.col("place").alias("hi"))
-    runs = tombs.join(first, ["cf_id", "begin"]).join(last, ["cf_id", "end"]).select("cf_id", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("place"), "range_seq")
-    newest = runs.groupBy("cf_id", "place").agg(F.max("range_seq").alias("range_seq"))
-    return placed.join(newest, ["cf_id", "place"], "left").select("cf_id", "at", "range_seq")
+    bounds = placed(tombs.select("cf_id", F.explode(F.array("begin", "end")).alias("at")).distinct(), ["cf_id", "at"])
+    bounds = checkpointed(bounds)
+    first, last = bounds.select("cf_id", F.col("at").alias("begin"), F.col("place").alias("lo")), bounds.select("cf_id", F.col("at").alias("end"), F.col("place").alias("hi"))
+    blocks = tombs.join(first, ["cf_id", "begin"]).join(last, ["cf_id", "end"]).select("range_seq", F.expr(BLOCKS_SQL)).select("b.*", "range_seq")
+    strongest = blocks.groupBy("level", "block").agg(F.max("range_seq").alias("range_seq"))
+    top = max(1, bounds.count()).bit_length()
+    above = bounds.select("place", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")).withColumn("block", F.expr("shiftright(place, level)"))
+    newest = above.join(strongest, ["level", "block"]).groupBy("place").agg(F.max("range_seq").alias("range_seq"))
+    return bounds.join(newest, "place", "left").select("cf_id", "at", "range_seq")
 
 
 def newest_cover(points: DataFrame, tombs: DataFrame, strategy: str = "auto") -> DataFrame:
@@ -66,14 +65,12 @@ def newest_cover(points: DataFrame, tombs: DataFrame, strategy: str = "auto") ->
         return points.join(covers, ["cf_id", "key"], "left")
     marks = fragments(tombs).select("cf_id", F.col("at").alias("key"), F.struct(F.lit(True).alias("set"), "range_seq").alias("mark"))
     both = points.withColumn("is_point", F.lit(1)).unionByName(marks.withColumn("is_point", F.lit(0)), allowMissingColumns=True)
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Range bounds are sampled, so the rows dealt are written once: a later run of the same plan might deal them otherwise.
-    dealt = checkpointed(both.repartitionByRange(parts, "cf_id", "key", "is_point").withColumn("part", F.spark_partition_id()))
     order = ["cf_id", "key", "is_point"]
-    carry = dealt.groupBy("part").agg(F.max_by(F.struct("cf_id", "mark"), F.when(F.col("is_point") == 0, F.struct("cf_id", "key"))).alias("last"))
-    carry = carry.select("part", F.last("last", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("from_before"))
-    swept = dealt.withColumn("m", F.last("mark", ignorenulls=True).over(Window.partitionBy("part", "cf_id").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)))
-    swept = swept.where("is_point = 1").join(F.broadcast(carry), "part", "left")
+    rows = dealt(both, order)
+    carry = rows.groupBy("_part").agg(F.max_by(F.struct("cf_id", "mark"), F.when(F.col("is_point") == 0, F.struct("cf_id", "key"))).alias("last"))
+    carry = carry.select("_part", F.last("last", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("from_before"))
+    swept = rows.withColumn("m", F.last("mark", ignorenulls=True).over(Window.partitionBy("_part", "cf_id").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)))
+    swept = swept.where("is_point = 1").join(F.broadcast(carry), "_part", "left")
     cover = F.when(F.col("m").isNotNull(), F.col("m.range_seq")).when(F.col("from_before.cf_id") == F.col("cf_id"), F.col("from_before.mark.range_seq"))
     return swept.select(*points.columns, cover.alias("cover"))
 
@@ -86,16 +83,12 @@ def covered(keys: DataFrame, tombs: DataFrame) -> DataFrame:
     """
     bounds = tombs.select("cf_id", F.explode(F.array("begin", "end")).alias("key")).distinct()
     both = bounds.withColumn("is_key", F.lit(0)).unionByName(keys.withColumn("is_key", F.lit(1)))
-    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = checkpointed(both.repartitionByRange(parts, "cf_id", "key", "is_key").withColumn("part", F.spark_partition_id()))
-    before = dealt.groupBy("part").agg(F.sum("is_key").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("outside"))
-    inside = F.sum("is_key").over(Window.partitionBy("part").orderBy("cf_id", "key", "is_key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("is_key")
-    placed = checkpointed(dealt.withColumn("inside", inside).join(F.broadcast(before), "part").select("cf_id", "key", "is_key", (F.col("inside") + F.col("outside")).alias("place")))
-    at = lambda bound, name: placed.where("is_key = 0").select("cf_id", F.col("key").alias(bound), F.col("place").alias(name))
+    places = checkpointed(placed(both, ["cf_id", "key", "is_key"], weight=F.col("is_key")))
+    at = lambda bound, name: places.where("is_key = 0").select("cf_id", F.col("key").alias(bound), F.col("place").alias(name))
     runs = tombs.join(at("begin", "lo"), ["cf_id", "begin"]).join(at("end", "hi"), ["cf_id", "end"]).where("lo < hi").select("seq", "lo", "hi")
     blocks = runs.select("*", F.explode(F.sequence(F.shiftright("lo", BLOCK_BITS), F.shiftright(F.col("hi") - 1, BLOCK_BITS))).alias("block"))
     first, last = F.greatest("lo", F.shiftleft("block", BLOCK_BITS)), F.least("hi", F.shiftleft(F.col("block") + 1, BLOCK_BITS)) - 1
-    return blocks.select("seq", F.explode(F.sequence(first, last)).alias("place")).join(placed.where("is_key = 1").drop("is_key"), "place").select("cf_id", "key", "seq")
+    return blocks.select("seq", F.explode(F.sequence(first, last)).alias("place")).join(places.where("is_key = 1").drop("is_key"), "place").select("cf_id", "key", "seq")
 
 
 def visible(log: DataFrame, seq: int | None = None, strategy: str = "auto") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, ByteType, IntegerType, LongType, StructField, StructType
 
 from ..functions.codec import ADD, DELETE_RANGE
+from ..operators.ranks import placed
 
 OP_LOG = StructType([
     StructField("cf_id", IntegerType()), StructField("seq", LongType()), StructField("op", ByteType()), StructField("key", BinaryType()), StructField("end_key", BinaryType()),
@@ -31,6 +34,12 @@ def event_log(events: DataFrame, families: bool = False) -> DataFrame:
     return events.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
 
+def ordered_by(log: DataFrame, order: Callable[[Column], Column]) -> DataFrame:
+    """The log in a custom key order: keys and range ends become (order(key), key), which every read compares part by part, so that scans, bounds and range deletes follow `order`."""
+    own = lambda c: F.when(F.col(c).isNotNull(), F.struct(order(F.col(c)).alias("sort_key"), F.col(c).alias("key")))
+    return log.withColumn("key", own("key")).withColumn("end_key", own("end_key"))
+
+
 def validated(ops: DataFrame) -> DataFrame:
     """Fails on ops that the log must not take: a range whose end is not above its begin, an add without a delta, a missing key."""
     wrong = (
@@ -44,14 +53,5 @@ def validated(ops: DataFrame) -> DataFrame:
 
 
 def numbered(batches: DataFrame, last_seq: int = 0) -> DataFrame:
-    """Gives the ops of batches (batch_id, op_index) consecutive sequence numbers after `last_seq`, in batch order.
-
-    Batches are summed first; only their counts, one row each, pass through the ordered window, in two levels: ranges of batch_id, then batches.
-    """
-    counts = batches.groupBy("batch_id").agg(F.count(F.lit(1)).alias("ops"))
-    ranged = counts.withColumn("bucket", F.shiftright("batch_id", 12))
-    before_bucket = ranged.groupBy("bucket").agg(F.sum("ops").alias("n")).select(F.col("bucket").alias("b"), (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("outside"))
-    inside = F.sum("ops").over(Window.partitionBy("bucket").orderBy("batch_id")) - F.col("ops")
-    bases = ranged.withColumn("inside", inside).join(before_bucket, F.col("bucket") == F.col("b")).select("batch_id", (F.col("inside") + F.col("outside")).alias("base"))
-    place = F.row_number().over(Window.partitionBy("batch_id").orderBy("op_index"))
-    return batches.join(bases, "batch_id").withColumn("seq", F.lit(last_seq) + F.col("base") + place).drop("base")
+    """Gives the ops of batches (batch_id, op_index) consecutive sequence numbers after `last_seq`, in batch order. Ops are placed in range partitions, so a batch of any size spreads over tasks."""
+    return placed(batches, ["batch_id", "op_index"]).withColumn("seq", F.lit(last_seq + 1) + F.col("place")).drop("place")

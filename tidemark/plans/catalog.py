@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codec import described_value, value_problem
 from ..operators import maintenance as m
 from ..operators import reads, reports, visibility
-from ..sources.oplog import EVENT_COLUMNS, event_log, numbered
+from ..sources.oplog import EVENT_COLUMNS, event_log, numbered, ordered_by
 
 #: Sequence numbers at which the queries read, and keys they ask for.
 AS_OF, EARLIER, KEYS = 9000, 4000, [3, 149, 3, 9999, 0, 77]
@@ -21,6 +22,10 @@ FILES = {
     "name": "concat('f', CAST(o_orderkey % 500 AS STRING))", "crc32": "o_custkey % 97", "backup_id": "o_orderkey % 11",
 }
 
+#: Names of files made up from order numbers, one form for each file type and one that is none.
+FILE_NAME = """CASE o_orderkey % 8 WHEN 0 THEN 'CURRENT' WHEN 1 THEN 'LOCK' WHEN 2 THEN 'LOG.old' WHEN 3 THEN concat('MANIFEST-', CAST(o_orderkey AS STRING))
+  WHEN 4 THEN concat(CAST(o_orderkey AS STRING), '.log') WHEN 5 THEN concat(CAST(o_orderkey AS STRING), '.sst') WHEN 6 THEN concat(CAST(o_orderkey AS STRING), '.dbtmp') ELSE 'notes.txt' END"""
+
 
 def _log(spark, d: str, families: bool = False) -> DataFrame:
     return event_log(spark.read.parquet(f"{d}/events.parquet"), families)
@@ -126,22 +131,66 @@ def kv_batch_sequence(spark, d):
     return numbered(ordered, 1000).groupBy("batch_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
-def rep_rates(spark, d):
+def _counters(spark, d):
+    """Samples of cumulative counters by user; the first restarts from 0 where it reaches 5000."""
     order = Window.partitionBy("user_id").orderBy("event_id")
-    samples = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.floor("value").cast("long").alias("step"))
-    samples = samples.select("user_id", (F.col("event_id") * 250).alias("time_millis"), F.sum("step").over(order).alias("operations"))
-    return reports.rates(samples, "user_id", "time_millis", "operations")
+    events = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", "event_id", F.floor("value").cast("long").alias("step"))
+    kinds = {"reads": ["view", "click"], "writes": ["signup", "purchase"], "removes": ["error"]}
+    return events.select("user_id", (F.col("event_id") * 250).alias("time_millis"), (F.sum("step").over(order) % 5000).alias("operations"), *[F.sum(F.when(F.col("event_type").isin(v), F.col("step")).otherwise(0)).over(order).alias(k) for k, v in kinds.items()])
+
+
+def rep_rates(spark, d):
+    return reports.rates(_counters(spark, d), "user_id", "time_millis", "operations")
+
+
+def rep_rate_summaries(spark, d):
+    rates = reports.rates(_counters(spark, d), "user_id", "time_millis", "reads", "writes", "removes")
+    long = rates.select(F.explode(F.array(*[F.struct(F.concat_ws(":", "user_id", F.lit(k)).alias("series"), F.col(f"{k}_rate").alias("rate")) for k in ("reads", "writes", "removes")])).alias("r")).select("r.*")
+    return reports.summary(long, "series", "rate").select("series", "n", F.round("avg", 6).alias("avg"), "min", "max", "p05", "p50", "p95")
 
 
 def rep_run_summary(spark, d):
     samples = _values(spark, d).withColumn("span", (F.col("id") % 9 + 1).cast("long"))
     kept = reports.steady(samples, "user_id", "id", "span")
-    return reports.summary(kept, "user_id", "value").select("user_id", "n", "min", "max", "p05", "p50", "p95", F.round("drop", 9).alias("drop"))
+    return reports.summary(kept, "user_id", "value").select("user_id", "n", F.round("avg", 6).alias("avg"), "min", "max", "p05", "p50", "p95", F.round("drop", 9).alias("drop"))
+
+
+def _faults(spark, d):
+    return _values(spark, d).select(F.col("event_type").alias("kind"), F.expr("CASE id % 5 WHEN 0 THEN 'RECOVERED' WHEN 1 THEN 'DETECTED' WHEN 2 THEN 'DETECTED_BY_VERIFY' WHEN 3 THEN 'UNEXPECTED_OPEN' ELSE 'SKIPPED' END").alias("status"))
+
 
+def kv_value_check(spark, d):
+    """Self-describing values of all orders, of which some are damaged as told by the order's number, and what is found wrong."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
+    sound = orders.withColumn("value", described_value(F.col("o_custkey"), F.col("o_orderkey"), (F.col("o_orderkey") % 90).cast("int"), 20260602))
+    flipped = F.concat(F.expr("substring(value, 1, 16)"), F.unhex(F.lpad(F.hex(F.pmod(F.conv(F.hex(F.expr("substring(value, 17, 1)")), 16, 10).cast("long") + 1, F.lit(256))), 2, "0")), F.expr("substring(value, 18)"))
+    number = F.col("o_orderkey")
+    damaged = F.when(number % 13 == 0, F.lit(None)).when(number % 11 == 0, F.expr("substring(value, 1, 20)")).when(number % 7 == 0, flipped).otherwise(F.col("value"))
+    asked = F.when(number % 5 == 0, number + 1).otherwise(number)
+    return sound.select("o_orderkey", value_problem(damaged, F.col("o_custkey"), asked).alias("problem")).where("problem IS NOT NULL")
 
-def rep_fault_counts(spark, d):
-    faults = _values(spark, d).select(F.col("event_type").alias("kind"), F.expr("CASE id % 4 WHEN 0 THEN 'recovered' WHEN 1 THEN 'detected' WHEN 2 THEN 'unexpected' ELSE 'other' END").alias("status"))
-    return reports.fault_counts(faults)
+
+def kv_verify_ledger(spark, d):
+    """The newest put or delete of every key in the ledger, older ones too, against the live set, in which range deletes hide keys."""
+    log = _log(spark, d)
+    ledger = log.where("op IN (0, 1)").select(F.when(F.col("op") == 1, "WRITE").otherwise("REMOVE").alias("kind"), "key", "seq")
+    return m.verify_ledger(ledger, visibility.latest(log).where("op = 1"), visibility.visible(log).where("seq % 11 != 0"))
+
+
+def _objects(spark, d):
+    return _files(spark, d).select(F.concat_ws("-", "name", F.col("size").cast("string")).alias("object_id"), "backup_id")
+
+
+def kv_purge_objects(spark, d):
+    objects = _objects(spark, d)
+    return m.purgeable_objects(objects, m.purge(objects, 4))
+
+
+def kv_custom_order(spark, d):
+    """Customers in the order of their names read backwards, from one name to another."""
+    log = ordered_by(_strings(spark, d), F.reverse)
+    low, high = (F.struct(F.lit(x[::-1]).alias("sort_key"), F.lit(x).alias("key")) for x in ("Customer#000000001", "Customer#000000005"))
+    return reads.scan(log, low=low, high=high).select("key.key", "seq", "value")
 
 
 QUERIES = {
@@ -172,9 +221,6 @@ QUERIES = {
     "kv_compact_live": kv_compact_live,
     "kv_approx_size": lambda s, d: m.approximate_size(_log(s, d), 10, 100),
     "kv_level_files": lambda s, d: m.level_files(_files(s, d)),
-    "kv_compaction_score": lambda s, d: m.compaction_scores(_files(s, d)),
-    "kv_pick_compaction": lambda s, d: m.pick_compaction(_files(s, d)),
-    "kv_pending_bytes": lambda s, d: m.pending_bytes(_files(s, d)).select("cf_id", F.round("pending_bytes", 3).alias("pending_bytes")),
     "kv_level_overlap": lambda s, d: m.next_level_overlap(_files(s, d)),
     "kv_gc_obsolete": kv_gc_obsolete,
     "kv_backup_reuse": kv_backup_reuse,
@@ -182,11 +228,21 @@ QUERIES = {
     "kv_backup_purge": lambda s, d: m.purge(_files(s, d), 4),
     "kv_integrity_check": kv_integrity_check,
     "kv_verify_model": kv_verify_model,
+    "kv_verify_ledger": kv_verify_ledger,
+    "kv_value_check": kv_value_check,
+    "kv_range_sizes": lambda s, d: m.range_sizes(_log(s, d), [(0, 50), (10, 100), (149, 9999), (20, 20)]),
+    "kv_live_bytes": lambda s, d: m.live_bytes(visibility.visible(_log(s, d, True))),
+    "kv_file_types": lambda s, d: m.file_types(s.read.parquet(f"{d}/orders.parquet").selectExpr(f"{FILE_NAME} AS name", f"{FILES['size']} AS size")),
+    "kv_purge_objects": kv_purge_objects,
+    "kv_orphan_objects": lambda s, d: m.orphan_objects(_objects(s, d).select("object_id").distinct(), _objects(s, d).where("backup_id > 6")),
+    "kv_custom_order": kv_custom_order,
     "rep_rates": rep_rates,
     "rep_percentiles": lambda s, d: reports.summary(_values(s, d), "event_type", "value").select("event_type", "n", "min", "max", "p05", "p50", "p95"),
     "rep_histogram": lambda s, d: reports.histogram(_values(s, d), "event_type", "micros"),
     "rep_operation_stats": lambda s, d: reports.operation_stats(_values(s, d), "event_type", "micros", 10000).select("event_type", "n", F.round("total", 2).alias("total"), F.round("avg", 4).alias("avg"), "max", "slow"),
-    "rep_fault_counts": rep_fault_counts,
+    "rep_fault_counts": lambda s, d: reports.fault_counts(_faults(s, d)),
+    "rep_fault_statuses": lambda s, d: reports.status_counts(_faults(s, d)),
+    "rep_rate_summaries": rep_rate_summaries,
     "rep_throughput_drop": lambda s, d: reports.summary(_values(s, d), "event_type", "value").select("event_type", F.round("drop", 9).alias("drop")),
     "rep_run_summary": rep_run_summary,
     "rep_reclamation": lambda s, d: reports.reclamation(_values(s, d).select(F.expr("CASE id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'backoff' ELSE 'none' END").alias("status"), F.floor("value").cast("long").alias("shrink_bytes"))),
@@ -234,9 +290,10 @@ def _live(select: str, seq: int | None = AS_OF, families: bool = False) -> str:
 
 _ROWS = "SELECT key, seq, value FROM live"
 _FILES = "files AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in FILES.items()) + " FROM orders)"
-_SCORES = f"""WITH {_FILES}, sums AS (SELECT cf_id, level, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY cf_id, level),
-  scores AS (SELECT *, CASE WHEN level = 0 THEN files / 4.0::DOUBLE ELSE bytes / (10485760.0::DOUBLE * pow(10.0::DOUBLE, level - 1)) END AS score FROM sums)"""
 _TIP = "tip AS (SELECT max(seq) AS newest, max(seq) * 9 // 10 AS late, max(seq) * 4 // 9 AS early FROM log)"
+_COUNTERS = """samples AS (SELECT user_id, event_id * 250 AS time_millis, CAST(sum(step) OVER w AS BIGINT) % 5000 AS operations, CAST(sum(CASE WHEN event_type IN ('view', 'click') THEN step ELSE 0 END) OVER w AS BIGINT) AS reads,
+  CAST(sum(CASE WHEN event_type IN ('signup', 'purchase') THEN step ELSE 0 END) OVER w AS BIGINT) AS writes, CAST(sum(CASE WHEN event_type = 'error' THEN step ELSE 0 END) OVER w AS BIGINT) AS removes
+  FROM (SELECT *, CAST(floor(value) AS BIGINT) AS step FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""
 _VALUES = "vals AS (SELECT event_type, value, user_id, event_id AS id, value * 40 AS micros FROM events)"
 
 
@@ -297,9 +354,6 @@ ORACLES = {
     "kv_compact_live": _live(_ROWS, None),
     "kv_approx_size": f"WITH {_log_sql()} SELECT CAST(coalesce(sum(length(CAST(key AS VARCHAR)) + coalesce(length(CAST(value AS VARCHAR)), 0)), 0) AS BIGINT) AS bytes, count(*) AS ops FROM log WHERE key >= 10 AND key < 100",
     "kv_level_files": f"WITH {_FILES} SELECT cf_id, level, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY cf_id, level",
-    "kv_compaction_score": _SCORES + " SELECT cf_id, level, files, bytes, score FROM scores",
-    "kv_pick_compaction": _SCORES + " SELECT cf_id, level, score FROM (SELECT *, row_number() OVER (PARTITION BY cf_id ORDER BY score DESC, level) AS rn FROM scores WHERE level < 6) WHERE rn = 1",
-    "kv_pending_bytes": _SCORES + " SELECT cf_id, round(sum(CASE WHEN score > 1 THEN CASE WHEN level = 0 THEN bytes ELSE bytes - 10485760 * pow(10.0::DOUBLE, level - 1) END ELSE 0.0::DOUBLE END), 3) AS pending_bytes FROM scores GROUP BY cf_id",
     "kv_level_overlap": f"""WITH {_FILES} SELECT cf_id, level, CAST(max(bytes) AS BIGINT) AS overlap_bytes FROM (SELECT a.cf_id, a.level, a.file_no, sum(b.size) AS bytes FROM files a JOIN files b
       ON a.cf_id = b.cf_id AND b.level = a.level + 1 AND a.smallest_key <= b.largest_key AND b.smallest_key <= a.largest_key WHERE a.level >= 1 GROUP BY ALL) GROUP BY cf_id, level""",
     "kv_gc_obsolete": f"WITH {_FILES} SELECT file_no, size FROM files WHERE cf_id = 2",
@@ -310,18 +364,21 @@ ORACLES = {
     "kv_integrity_check": f"""WITH {_FILES} SELECT file_no, 'missing file' AS problem FROM files WHERE file_no % 13 = 0 UNION ALL SELECT file_no, 'wrong size' FROM files WHERE file_no % 13 != 0 AND file_no % 17 = 0
       UNION ALL SELECT file_no, 'bounds out of order' FROM files WHERE smallest_key > largest_key UNION ALL SELECT file_no, 'unknown family' FROM files WHERE cf_id NOT IN (1, 2)""",
     "kv_verify_model": f"WITH {_log_sql()}, {_visible_sql(AS_OF)}, model AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE op IN (0, 1) AND seq <= {AS_OF}) WHERE rn = 1 AND op = 1) SELECT m.key, 'lost' AS problem FROM model m LEFT JOIN live l ON m.key = l.key WHERE l.key IS NULL",
-    "rep_rates": """WITH s AS (SELECT user_id, event_id * 250 AS time_millis, sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS operations FROM events),
-      g AS (SELECT *, (time_millis - lag(time_millis) OVER w) / 1000.0::DOUBLE AS gone, operations - lag(operations) OVER w AS more FROM s WINDOW w AS (PARTITION BY user_id ORDER BY time_millis))
-      SELECT user_id, time_millis, CAST(more AS DOUBLE) / gone AS rate FROM g WHERE gone > 0""",
+    "rep_rates": f"WITH {_COUNTERS} SELECT user_id, time_millis, CAST(greatest(operations - lag(operations) OVER w, 0) AS DOUBLE) * 1000.0::DOUBLE / greatest(time_millis - lag(time_millis) OVER w, 1) AS rate FROM samples WINDOW w AS (PARTITION BY user_id ORDER BY time_millis) QUALIFY lag(time_millis) OVER w IS NOT NULL",
+    "rep_rate_summaries": f"""WITH {_COUNTERS}, own AS (SELECT concat(user_id, ':', unnest(['reads', 'writes', 'removes'])) AS series, time_millis, unnest([reads, writes, removes]) AS counter FROM samples),
+      r AS (SELECT series, CAST(greatest(counter - lag(counter) OVER w, 0) AS DOUBLE) * 1000.0::DOUBLE / greatest(time_millis - lag(time_millis) OVER w, 1) AS rate FROM own WINDOW w AS (PARTITION BY series ORDER BY time_millis) QUALIFY lag(time_millis) OVER w IS NOT NULL)
+      SELECT series, count(*) AS n, round(avg(rate), 6) AS avg, min(rate) AS min, max(rate) AS max, {_percentile(0.05, "rate")} AS p05, {_percentile(0.5, "rate")} AS p50, {_percentile(0.95, "rate")} AS p95 FROM r GROUP BY series""",
     "rep_percentiles": f"WITH {_VALUES} SELECT event_type, count(*) AS n, min(value) AS min, max(value) AS max, {_percentile(0.05)} AS p05, {_percentile(0.5)} AS p50, {_percentile(0.95)} AS p95 FROM vals GROUP BY event_type",
     "rep_histogram": f"WITH {_VALUES} SELECT event_type, CASE WHEN micros <= 10 THEN '<=10' WHEN micros <= 100 THEN '<=100' WHEN micros <= 1000 THEN '<=1000' WHEN micros <= 10000 THEN '<=10000' ELSE '>10000' END AS bucket, count(*) AS n FROM vals GROUP BY 1, 2",
     "rep_operation_stats": f"WITH {_VALUES} SELECT event_type, count(*) AS n, round(sum(micros), 2) AS total, round(avg(micros), 4) AS avg, max(micros) AS max, count(*) FILTER (micros >= 10000) AS slow FROM vals GROUP BY event_type",
-    "rep_fault_counts": "SELECT event_type AS kind, count(*) AS n, count(*) FILTER (event_id % 4 = 0) AS recovered, count(*) FILTER (event_id % 4 = 1) AS detected, count(*) FILTER (event_id % 4 = 2) AS unexpected FROM events GROUP BY event_type",
+    "rep_fault_counts": "SELECT event_type AS kind, count(*) AS n, count(*) FILTER (event_id % 5 = 0) AS recovered, count(*) FILTER (event_id % 5 IN (1, 2)) AS detected, count(*) FILTER (event_id % 5 = 3) AS unexpected FROM events GROUP BY event_type",
+    "rep_fault_statuses": "SELECT CASE event_id % 5 WHEN 0 THEN 'RECOVERED' WHEN 1 THEN 'DETECTED' WHEN 2 THEN 'DETECTED_BY_VERIFY' WHEN 3 THEN 'UNEXPECTED_OPEN' ELSE 'SKIPPED' END AS status, count(*) AS n FROM events GROUP BY 1",
     "rep_throughput_drop": f"WITH {_VALUES}, q AS (SELECT event_type, {_percentile(0.05)} AS p05, {_percentile(0.5)} AS p50 FROM vals GROUP BY event_type) SELECT event_type, round(CASE WHEN p50 > 0 THEN greatest(0.0, 1 - p05 / p50) ELSE 0.0 END, 9) AS drop FROM q",
     "rep_run_summary": f"""WITH {_VALUES}, s AS (SELECT *, id % 9 + 1 AS span, row_number() OVER (PARTITION BY user_id ORDER BY id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM vals),
-      mid AS (SELECT user_id, percentile_disc(0.5) WITHIN GROUP (ORDER BY span) AS middle FROM s GROUP BY user_id),
-      kept AS (SELECT s.* FROM s JOIN mid USING (user_id) WHERE (i > 2 OR n <= 2) AND (NOT (i = n AND span * 2 < middle) OR n = 1)),
-      q AS (SELECT user_id, count(*) AS n, min(value) AS min, max(value) AS max, {_percentile(0.05)} AS p05, {_percentile(0.5)} AS p50, {_percentile(0.95)} AS p95 FROM kept GROUP BY user_id)
+      w AS (SELECT *, CASE WHEN n > 2 THEN 2 ELSE n - 1 END AS warm FROM s),
+      mid AS (SELECT user_id, list(span ORDER BY span)[count(*) // 2 + 1] AS middle FROM w WHERE i > warm AND i < n GROUP BY user_id),
+      kept AS (SELECT w.* FROM w LEFT JOIN mid USING (user_id) WHERE i > warm AND NOT coalesce(i = n AND middle > 0 AND span * 2 < middle, false)),
+      q AS (SELECT user_id, count(*) AS n, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, {_percentile(0.05)} AS p05, {_percentile(0.5)} AS p50, {_percentile(0.95)} AS p95 FROM kept GROUP BY user_id)
       SELECT *, round(CASE WHEN p50 > 0 THEN greatest(0.0, 1 - p05 / p50) ELSE 0.0 END, 9) AS drop FROM q""",
     "rep_reclamation": "SELECT count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS success, count(*) FILTER (event_id % 3 = 1) AS backoff, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS shrink_bytes FROM events",
     "rep_amplification": f"WITH {_FILES} SELECT cf_id, CAST(sum(size) AS DOUBLE) / CAST(sum(size) FILTER (level > 0) AS DOUBLE) AS amplification FROM files GROUP BY cf_id",
@@ -352,5 +409,18 @@ ORACLES |= {
     "kv_compact_live_whole": _live(_ROWS, None),
     "kv_verify_model_whole": f"WITH {_log_sql()}, {_visible_sql()}, {_MODEL} SELECT m.key, 'lost' AS problem FROM model m LEFT JOIN live l ON m.key = l.key WHERE l.key IS NULL",
 }
+_SIZE_SQL = "length(CAST(key AS VARCHAR)) + coalesce(length(CAST(value AS VARCHAR)), 0)"
+ORACLES |= {
+    "kv_verify_ledger": f"""WITH {_log_sql()}, {_visible_sql()}, there AS (SELECT * FROM live WHERE seq % 11 != 0), {_MODEL}
+      SELECT g.key, g.seq, CASE WHEN g.op = 1 AND t.seq IS NULL THEN 'lost' WHEN g.op = 1 THEN 'other version' ELSE 'removed key is live' END AS problem FROM (SELECT * FROM log WHERE op IN (0, 1)) g LEFT JOIN model m ON m.key = g.key LEFT JOIN there t ON t.key = g.key
+      WHERE (g.op = 1 AND m.seq = g.seq AND t.seq IS DISTINCT FROM g.seq) OR (g.op = 0 AND m.key IS NULL AND t.key IS NOT NULL)""",
+    "kv_value_check": "SELECT * FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'missing value' WHEN o_orderkey % 11 = 0 THEN 'value too small' WHEN o_orderkey % 7 = 0 THEN 'checksum mismatch' WHEN o_orderkey % 5 = 0 THEN 'value mismatch' END AS problem FROM orders) WHERE problem IS NOT NULL",
+    "kv_range_sizes": f"WITH {_log_sql()}, asked AS (SELECT * FROM (VALUES (0, 0, 50), (1, 10, 100), (2, 149, 9999), (3, 20, 20)) AS a(place, low, high)) SELECT CAST(place AS BIGINT) AS place, CAST(coalesce(sum({_SIZE_SQL}), 0) AS BIGINT) AS bytes, count(key) AS ops FROM asked LEFT JOIN log ON key >= low AND key < high GROUP BY place",
+    "kv_live_bytes": _live(f"SELECT cf_id, count(*) AS keys, CAST(sum({_SIZE_SQL}) AS BIGINT) AS bytes FROM live GROUP BY cf_id", None, True),
+    "kv_file_types": f"SELECT CASE o_orderkey % 8 WHEN 0 THEN 'current' WHEN 1 THEN 'lock' WHEN 2 THEN 'info_log' WHEN 3 THEN 'manifest' WHEN 4 THEN 'log' WHEN 5 THEN 'table' ELSE 'temp' END AS type, count(*) AS files, CAST(sum({FILES['size']}) AS BIGINT) AS bytes FROM orders WHERE o_orderkey % 8 != 7 GROUP BY 1",
+    "kv_purge_objects": f"WITH {_FILES}, o AS (SELECT concat_ws('-', name, CAST(size AS VARCHAR)) AS object_id, backup_id FROM files), old AS (SELECT DISTINCT backup_id FROM o ORDER BY backup_id DESC OFFSET 4) SELECT DISTINCT object_id FROM o WHERE backup_id IN (FROM old) AND object_id NOT IN (SELECT object_id FROM o WHERE backup_id NOT IN (FROM old))",
+    "kv_orphan_objects": f"WITH {_FILES}, o AS (SELECT concat_ws('-', name, CAST(size AS VARCHAR)) AS object_id, backup_id FROM files) SELECT DISTINCT object_id FROM o WHERE object_id NOT IN (SELECT object_id FROM o WHERE backup_id > 6)",
+    "kv_custom_order": "SELECT c_name AS key, c_custkey AS seq, CAST(c_nationkey AS BIGINT) AS value FROM customer WHERE c_custkey % 10 != 0 AND reverse(c_name) >= reverse('Customer#000000001') AND reverse(c_name) < reverse('Customer#000000005')",
+}
 #: DuckDB's name of the text type, where a mapping's text is shared.
 ORACLES = {k: v.replace("AS STRING)", "AS VARCHAR)") for k, v in ORACLES.items()}

@@ -24,14 +24,22 @@ def _deal(sa: np.ndarray, place: np.ndarray, letters: np.ndarray, items: np.ndar
     """Puts items into their letters' buckets, in order, at place (moved on by each; step 1: from the left, -1: from the right)."""
     order = letters.argsort(kind="stable")
     sorted_letters = letters[order]
-    new = np.ones(len(order), bool)
+    new = np.empty(len(order), bool)
+    new[0] = True
     np.not_equal(sorted_letters[1:], sorted_letters[:-1], out=new[1:])
     first = new.nonzero()[0]
     counts = np.empty(len(first), np.int64)
-    counts[:-1], counts[-1] = first[1:] - first[:-1], len(order) - first[-1]
-    rank = np.arange(len(order)) - np.repeat(first, counts)
-    sa[place[sorted_letters] + step * rank] = items[order]
-    place[sorted_letters[first]] += step * counts
+    np.subtract(first[1:], first[:-1], out=counts[:-1])
+    counts[-1] = len(order) - first[-1]
+    used = sorted_letters[first]
+    to = place[used]
+    at = np.arange(len(order))
+    if step > 0:
+        at += np.repeat(to - first, counts)
+    else:
+        np.subtract(np.repeat(to + first, counts), at, out=at)
+    sa[at] = items[order]
+    place[used] = to + step * counts
 
 
 def _scan(s: np.ndarray, wanted: np.ndarray, sa: np.ndarray, bounds: np.ndarray, place: np.ndarray, step: int) -> None:

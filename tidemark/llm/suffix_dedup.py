@@ -4,7 +4,7 @@
    stretches under an anchor found twice can repeat. A stretch holds all strings in a row that name one anchor.
 2. Stretches are dealt by anchor. Stretches with equal content are sent once, with their number; so a passage in any number of documents costs one.
 3. Each shard of whole anchors gets a suffix array by induced sorting and permuted common prefixes: a start that shares `length` bytes with its neighbour repeats, as does one whose
-   stretch comes more than once. Stretches that share no text with another one beside the anchor, on either side, are left out: whatever repeats reaches that far on one side.
+   stretch comes more than once (where an anchor has only copies of one stretch, there is nothing else to sort it with). Stretches that share no text with another one beside the anchor, on either side, are left out: whatever repeats reaches that far on one side.
    An anchor with more different stretches than a shard should hold (the edge of a passage that very many documents quote) is dealt on by the content of each string: of every string
    found twice two witnesses go to shards of their own, which are sorted like any other.
 4. The verdict on each stretch goes back to all its places, and each document's spans are joined.
@@ -124,25 +124,29 @@ def shared_lengths(pieces: pa.Array, runs: np.ndarray, counts: np.ndarray) -> tu
     """
     data, offsets = utf8(pieces)
     n, sizes = len(offsets) - 1, np.diff(offsets)
-    inner = np.arange(len(data)) + np.repeat(np.arange(n), sizes)
+    inner = np.ones(len(data) + n, bool)
+    inner[offsets[1:] + np.arange(n)] = False
     laid = np.zeros(len(data) + n, np.uint8)
     laid[inner] = data
-    s = np.zeros(len(data) + n, np.int64)  # 0 after each piece; bytes are 1 to 256
-    s[inner] = data.astype(np.int64) + 1
+    s = laid.astype(np.uint16)
+    s += inner  # 0 after each piece; bytes are 1 to 256
     ends = np.repeat((offsets[1:] + np.arange(n)).astype(np.int32), sizes + 1)
     sa = suffix_array(s)
     shared = common_prefixes(laid, sa, ends)[0][sa]
-    piece = np.repeat(np.arange(n), sizes)
-    place = np.arange(len(data)) - offsets[piece]
+    piece = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(offsets[:-1].astype(np.int32), sizes)
     start = np.zeros(len(s), bool)
-    start[inner] = place < runs[piece]
-    at = np.flatnonzero(start[sa])
+    start[inner] = place < np.repeat(runs.astype(np.int32), sizes)
+    at = start[sa].nonzero()[0]
     best = np.zeros(len(s), np.int32)
     if len(at) > 1:  # what two starts share is the least that neighbours from one to the other share
         between = np.minimum.reduceat(shared, at + 1)[:-1] if at[-1] + 1 < len(shared) else np.minimum.reduceat(shared, at[:-1] + 1)
         best[sa[at[1:]]] = between
         best[sa[at[:-1]]] = np.maximum(best[sa[at[:-1]]], between)
-    return np.where(counts[piece] > 1, sizes[piece] - place, best[inner]), piece, place
+    best = best[inner]
+    again = np.repeat(counts > 1, sizes)
+    best[again] = (np.repeat(sizes.astype(np.int32), sizes) - place)[again]
+    return best, piece, place
 
 
 def _runs(flags: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -159,24 +163,30 @@ def _runs(flags: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.n
 def _sort(lengths: tuple[int, ...]):
     """Shards: whole anchors, about SHARD_BYTES together."""
 
+    def verdict(table: pa.Table, row: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> pa.RecordBatch:
+        at = pa.array(row)
+        return pa.RecordBatch.from_arrays([table.column("anchor").combine_chunks().take(at), table.column("seg").combine_chunks().take(at), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(np.full(len(row), length), pa.int32())], names=[c.split()[0] for c in VERDICT_SCHEMA.split(", ")])
+
+    def times(column: pa.ChunkedArray) -> np.ndarray:
+        _, which, counts = np.unique(column.to_numpy(), return_inverse=True, return_counts=True)
+        return counts[which]
+
     def shard(rows: list[pa.RecordBatch]):
         table = pa.Table.from_batches(rows).combine_chunks()
-        counts = table.column("n").to_numpy()
-        alike = counts > 1
-        for side in ("left", "right"):  # hashes of different anchors or sides that meet only keep a stretch more
-            _, which, times = np.unique(table.column(side).to_numpy(), return_inverse=True, return_counts=True)
-            alike |= times[which] > 1
-        table, counts = table.filter(pa.array(alike)), counts[alike]
+        counts, runs, alone = table.column("n").to_numpy(), table.column("run").to_numpy(), times(table.column("anchor")) == 1
+        sizes = np.diff(utf8(table.column("bytes"))[1])
+        for length in lengths:  # copies of one stretch and nothing else under its anchor: all that fits in it repeats
+            row = np.flatnonzero(alone & (counts > 1) & (sizes >= length))
+            yield verdict(table, row, np.zeros(len(row), np.int64), np.minimum(runs[row], sizes[row] - length + 1) - 1, length)
+        # Hashes of different anchors or sides that meet only keep a stretch more.
+        alike = ~alone & ((counts > 1) | (times(table.column("left")) > 1) | (times(table.column("right")) > 1))
+        table, counts, runs = table.filter(pa.array(alike)), counts[alike], runs[alike]
         if not table.num_rows:
             return
-        runs = table.column("run").to_numpy()
         best, owner, place = shared_lengths(table.column("bytes").combine_chunks(), runs, counts)
         starts = place < runs[owner]
-        anchor, seg = table.column("anchor").combine_chunks(), table.column("seg").combine_chunks()
         for length in lengths:
-            row, first, last = _runs((best >= length) & starts, owner, place)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([anchor.take(at), seg.take(at), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(np.full(len(row), length), pa.int32())], names=[c.split()[0] for c in VERDICT_SCHEMA.split(", ")])
+            yield verdict(table, *_runs((best >= length) & starts, owner, place), length)
 
     def sort(batches):
         held, size = [], 0
@@ -236,11 +246,12 @@ def repeated_spans(keyed: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     long = keyed.where(F.octet_length("text") >= length)
     found = stored(long.mapInArrow(_find(length, reach), STRETCH_SCHEMA), "stretches")
     twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # All copies of a stretch are alike, so the first one met stands for them, whose columns come from one row.
     # Grouped by anchor and content as one value: the join's deal by anchor would satisfy two columns and leave a hot anchor in one task.
-    kinds = found.join(twice, "anchor", "left_semi").groupBy(F.struct("anchor", "seg").alias("kind")).agg(F.first("run").alias("run"), F.first("at").alias("at"), F.min(F.struct("doc_id", "tkey", "start")).alias("place"), F.count(F.lit(1)).alias("n"))
-    kinds_table = stored(kinds.select("kind.*", "run", "at", "place", "n"), "stretch-kinds")
+    kinds = found.join(twice, "anchor", "left_semi").groupBy(F.struct("anchor", "seg").alias("kind")).agg(*[F.first(c).alias(c) for c in ("doc_id", "tkey", "start", "run", "at")], F.count(F.lit(1)).alias("n"))
+    kinds_table = stored(kinds.select("kind.*", "doc_id", "tkey", "start", "run", "at", "n"), "stretch-kinds")
     hot = kinds_table.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > MOST_STRETCHES).select("anchor", F.lit(True).alias("hot"))
-    wanted = kinds_table.join(hot, "anchor", "left").select(F.col("place.doc_id").alias("d"), F.col("place.tkey").alias("k"), F.struct("anchor", "seg", F.col("place.start").alias("start"), "run", "at", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
+    wanted = kinds_table.join(hot, "anchor", "left").select(F.col("doc_id").alias("d"), F.col("tkey").alias("k"), F.struct("anchor", "seg", "start", "run", "at", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
     wanted = wanted.groupBy("d", "k").agg(F.collect_list("w").alias("wanted"))
     texts = long.join(wanted, (F.col("tkey") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "wanted")
     pieces = stored(texts.mapInArrow(_cut(length, reach), PIECE_SCHEMA), "stretch-bytes")

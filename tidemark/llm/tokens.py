@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from itertools import chain
 
 import numpy as np
@@ -15,6 +16,9 @@ BYTE_LETTERS = {c: "".join(chr(b) if b not in _ODD else chr(256 + _ODD.index(b))
 KIND = np.zeros(256, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]], KIND[[44, 46]], KIND[65:91], KIND[97:123] = 1, 2, 3, 3
 NAME = "word_bpe_49k.json"
+#: What makes a tokenizer one of this kind: these normalizers, and a pattern none of whose matches holds white space (what it does not match is dropped). Fixed values.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def tokenizer_path(name: str = NAME) -> str:
@@ -27,13 +31,22 @@ class ChunkCoder:
     """Encodes chunks (bytes between ASCII blanks) once each.
 
     The tokenizer drops white space, folds case and composes characters letter by letter, so no token spans a blank and a text's ids are those of its chunks laid end to end.
-    That holds for tokenizers of this kind only: `check` compares both ways on the first batch and raises if they differ. The cache starts anew at `limit` chunks, so memory is bounded.
+    That holds for tokenizers of this kind only: any other normalizer, pattern or added token with a blank raises, and the first batch is compared both ways besides. The cache
+    starts anew at `limit` chunks, so memory is bounded.
     """
 
     def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.checked = Tokenizer.from_file(path), limit, False
+        parts = json.loads(self.tokenizer.to_str())
+        normal, split = parts["normalizer"] or {}, parts["pre_tokenizer"] or {}
+        split = split.get("pretokenizers", [split])
+        first = split[0]
+        known = [n["type"] for n in normal.get("normalizers", [])] == NORMALIZERS and first.get("pattern") == {"Regex": PATTERN} and (first["behavior"], first["invert"]) == ("Removed", True)
+        plain = [x["type"] for x in split[1:]] == ["ByteLevel"] and not split[1]["add_prefix_space"] and not any(t["lstrip"] or t["rstrip"] or set(t["content"]) & set(" \t\n\v\f\r") for t in parts["added_tokens"])
+        if not (known and plain):
+            raise ValueError("this tokenizer is of another kind: its tokens might span blanks")
         self.clear()
 
     def clear(self) -> None:
@@ -93,8 +106,11 @@ class ChunkCoder:
                 found[i] = self.known[chunks[i]]
         return np.array(found, np.int64)
 
-    def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """Chunks of texts laid end to end, and how many each text has. A full stop or comma after a letter and before a blank is a chunk of its own, A-Z are in lower case: neither changes ids."""
+    def _laid(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts with blanks between them, where chunks begin in that, and how many each text has.
+
+        A full stop or comma after a letter and before a blank is a chunk of its own, A-Z are in lower case: neither changes ids.
+        """
         n, texts = len(data), len(offsets) - 1
         if b"<|" not in data.tobytes():  # special tokens are matched before case is folded
             data = LOWER[data]
@@ -110,9 +126,20 @@ class ChunkCoder:
         blank = KIND[laid] == 1
         starts = ~blank
         starts[1:] &= blank[:-1]
-        upto = np.concatenate([[0], np.cumsum(starts)])
         bounds = offsets + np.arange(texts + 1) + np.concatenate([[0], np.cumsum(stop)])[offsets]
-        return laid.tobytes().split(), np.diff(upto[bounds])
+        begins = np.flatnonzero(starts)
+        return laid, begins, np.diff(np.searchsorted(begins, bounds))
+
+    def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Chunks of texts laid end to end, and how many each text has."""
+        laid, _, sizes = self._laid(data, offsets)
+        return laid.tobytes().split(), sizes
+
+    def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes that hold the chunks of texts laid end to end (16 more at the end), where each chunk begins and ends in them, and how many each text has."""
+        laid, begins, sizes = self._laid(data, offsets)
+        blank = np.append(KIND[laid] == 1, True)
+        return np.concatenate([laid, np.zeros(16, np.uint8)]), begins, np.flatnonzero(~blank[:-1] & blank[1:]) + 1, sizes
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts laid end to end, and the offsets of their ids."""

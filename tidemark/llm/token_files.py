@@ -19,18 +19,24 @@ BLOCK_SCHEMA = "part int, block int, first_doc long, last_doc long, n_ids long,
 
 
 def train_dictionary(documents: DataFrame, path: str, sample: int, size: int) -> bytes:
-    """A dictionary of about `size` bytes from the serialized ids of `sample` documents of up to 20,000 characters, picked by hash. It bounds what comes to the driver; any dictionary gives the same ids."""
+    """A dictionary of about `size` bytes from the serialized ids of about `sample` documents of up to 20,000 characters, those with the smallest hashes of number and text.
+
+    The sample bounds what training holds on the driver, whatever the number of documents (a parameter, like the dictionary's size); any dictionary gives the same ids.
+    """
+    share = min(1.0, sample / max(1, documents.count()))
 
     def serialize(batches):
         for batch in chunks(batches):
             ids, offsets = coder(path).encode(*utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([binary(ids.astype("<u2").view(np.uint8), offsets * 2)], names=["ids"])
 
-    picked = documents.select("doc_id", "text").where(F.length("text").between(1, 20000)).orderBy(F.xxhash64("doc_id"), "text").limit(sample)
+    # By a threshold on the hash, so that no task sends more than its share; repeated rows have one hash and go once.
+    own = documents.select("doc_id", "text").where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int(share * (1 << 40))) & F.length("text").between(1, 20000))
+    picked = own.dropDuplicates().limit(2 * sample)
     samples = [bytes(r.ids) for r in picked.mapInArrow(serialize, "ids binary").collect() if len(r.ids) >= 8]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on
+    except (zstandard.ZstdError, ValueError):  # too few samples to train on
         return b"".join(samples)[:size]
 
 

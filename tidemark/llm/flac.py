@@ -1,7 +1,9 @@
 """Media columns: lossless FLAC streams of 8-bit mono samples, written and decoded in numpy, many frames at a time.
 
 The format is the published one (RFC 9639): a STREAMINFO block with an MD5 sum, a SEEKTABLE, and frames of BLOCK samples whose subframes are constant, verbatim,
-or predicted (fixed or linear) with Rice-coded residuals. The decoder reads streams of one channel, 8 bits and one fixed block size; it verifies both checksums of every frame.
+or predicted (fixed or linear) with Rice-coded residuals. The encoder writes one Rice partition a frame; the decoder reads any number of them, both coding methods, escaped
+partitions and linear predictors of any order and precision. It reads streams of one channel, 8 bits and blocks of BLOCK samples, without wasted bits; others are refused by
+an error. It verifies both checksums of every frame and the stream's MD5 sum, and gives blocks of samples by their offsets.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import chunks, ship, utf8
+from .common import chunks, ship, stored, utf8
 
 #: Samples in a frame, frames between seek points, sample rate and its code (fixed values of the format for 192 samples and 8 kHz).
 BLOCK, SEEK_EVERY, RATE = 192, 8, 8000
@@ -194,6 +198,69 @@ def _signed(value: np.ndarray, width: int) -> np.ndarray:
     return value - ((value >> (width - 1)) << width)
 
 
+def _residuals(bits: _Bits, p: np.ndarray, rows: np.ndarray, depth: np.ndarray, coefs: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of predicted subframes, of which the first `depth` are known, and the bit after each: residuals are read sample by sample, over all subframes at once."""
+    method = bits.read(p, 2)
+    if (method > 1).any():
+        raise ValueError("residuals of a reserved coding method")
+    wide, span = 4 + method, BLOCK >> bits.read(p + 2, 4)
+    if (BLOCK % span).any() or (span < depth).any():
+        raise ValueError("residuals in partitions that do not fit the block")
+    p = p + 6
+    k, raw = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)  # a Rice parameter; bits of an unencoded residual, and 1
+
+    def head(own: np.ndarray) -> None:
+        k[own] = bits.read(p[own], wide[own])
+        p[own] += wide[own]
+        raw[own] = 0
+        plain = own[k[own] == (1 << wide[own]) - 1]
+        raw[plain] = bits.read(p[plain], 5) + 1
+        p[plain] += 5
+        if (raw[plain] > 25).any():
+            raise ValueError("unencoded residuals of over 24 bits")
+
+    head(np.arange(len(p)))
+    several, w = bool((span < BLOCK).any()), coefs.shape[1]
+    coefs = coefs[:, ::-1]
+    pad = np.concatenate([np.zeros((len(p), w), np.int64), rows], axis=1)
+    for t in range(int(depth.min()), BLOCK):
+        if several and t:
+            own = np.flatnonzero((t % span == 0) & (depth <= t))
+            if len(own):
+                head(own)
+        quotient = np.zeros(len(p), np.int64)
+        view = bits.window(p)
+        zeros = 32 - np.frexp(view.astype(np.float64))[1]
+        here, coded = depth <= t, raw == 0
+        far = np.flatnonzero((zeros >= 25) & here & coded)
+        while len(far):  # a long run of zeros goes on in the next window
+            quotient[far] += 24
+            p[far] += 24
+            zeros[far] = 32 - np.frexp(bits.window(p[far]).astype(np.float64))[1]
+            if (quotient[far] > 1 << 16).any():
+                raise ValueError("a residual has no end")
+            far = far[zeros[far] >= 25]
+        rice = np.where(coded, k, 0)
+        z = (quotient + zeros) << rice | bits.read(p + np.minimum(zeros, 24) + 1, rice)
+        value = (z >> 1) ^ -(z & 1)
+        size = zeros + 1 + rice
+        if not coded.all():
+            width = np.maximum(raw - 1, 0)
+            own = np.flatnonzero(width > 0)
+            number = np.zeros(len(p), np.int64)
+            number[own] = bits.read(p[own], width[own])
+            number[own] -= (number[own] >> (width[own] - 1)) << width[own]
+            value, size = np.where(coded, value, number), np.where(coded, size, width)
+        value = value + ((pad[:, t : t + w] * coefs).sum(1) >> shift)
+        if here.all():
+            pad[:, w + t] = value
+            p = p + size
+        else:
+            pad[here, w + t] = value[here]
+            p = np.where(here, p + size, p)
+    return pad[:, w:], p
+
+
 def decode_frames(bits: _Bits, at: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Decodes the frames that begin at bytes `at`: samples (one row each) and the bytes after them."""
     data = bits.data
@@ -208,7 +275,10 @@ def decode_frames(bits: _Bits, at: np.ndarray, numbers: np.ndarray) -> tuple[np.
     if (crcs(data, at, lead - 1, 8) != data[at + lead - 1]).any():
         raise ValueError("a frame header's checksum is wrong")
     pos = (at + lead) * 8
-    kind = bits.read(pos, 8) >> 1
+    lead_byte = bits.read(pos, 8)
+    if (lead_byte & 0x81).any():
+        raise ValueError("a subframe has wasted bits, or does not begin where it should")
+    kind = lead_byte >> 1
     pos = pos + 8
     n = len(at)
     fixed, linear = (kind >= 8) & (kind <= 12), kind >= 32
@@ -242,41 +312,7 @@ def decode_frames(bits: _Bits, at: np.ndarray, numbers: np.ndarray) -> tuple[np.
             pos[own] += np.where(use, precision, 0)
     coded = np.flatnonzero(fixed | linear)
     if len(coded):
-        if bits.read(pos[coded], 6).any():
-            raise ValueError("residuals in several partitions or of another method")
-        k = bits.read(pos[coded] + 6, 4)
-        if (k == 15).any():
-            raise ValueError("an unencoded partition")
-        p, rows, depth = pos[coded] + 10, x[coded], order[coded]
-        own_coefs, own_shift = coefs[coded][:, ::-1], shift[coded]
-        pad = np.concatenate([np.zeros((len(coded), own_coefs.shape[1]), np.int64), rows], axis=1)
-        w = own_coefs.shape[1]
-        first = int(depth.min())
-        for t in range(first, BLOCK):
-            quotient = np.zeros(len(p), np.int64)
-            view = bits.window(p)
-            zeros = 32 - np.frexp(view.astype(np.float64))[1]
-            far = np.flatnonzero(zeros >= 25)
-            while len(far):  # a long run of zeros goes on in the next window
-                quotient[far] += 24
-                p[far] += 24
-                zeros[far] = 32 - np.frexp(bits.window(p[far]).astype(np.float64))[1]
-                if (quotient[far] > 1 << 16).any():
-                    raise ValueError("a residual has no end")
-                far = far[zeros[far] >= 25]
-            here = depth <= t
-            q = quotient + zeros
-            z = q << k | bits.read(p + zeros + 1, k)
-            value = (z >> 1) ^ -(z & 1)
-            value += (pad[:, t : t + w] * own_coefs).sum(1) >> own_shift
-            if here.all():
-                pad[:, w + t] = value
-                p = p + zeros + 1 + k
-            else:
-                pad[here, w + t] = value[here]
-                p = np.where(here, p + zeros + 1 + k, p - quotient)
-        x[coded] = pad[:, w:]
-        pos[coded] = p
+        x[coded], pos[coded] = _residuals(bits, pos[coded], x[coded], order[coded], coefs[coded], shift[coded])
     end = (pos + 7) // 8
     check = crcs(data, at, end - at, 16)
     if (check != (data[end].astype(np.uint32) << 8 | data[end + 1])).any():
@@ -343,19 +379,26 @@ def store_media(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_bytes long, payload_bytes long, media binary")
 
 
-def pcm_blocks(media: DataFrame, samples: int = 16 * BLOCK) -> DataFrame:
-    """Decodes rows (doc_id, media) to PCM blocks: doc_id, sample_offset, pcm (signed 8-bit samples, `samples` at most). A null stream gives no rows."""
+def pcm_blocks(media: DataFrame, samples: int = 16 * BLOCK, carry: list[str] | None = None) -> DataFrame:
+    """Decodes rows (doc_id, media, ...) to PCM blocks: doc_id, sample_offset, n_samples (of the whole stream), pcm (signed 8-bit samples, `samples` at most), and the columns of `carry`.
+
+    A stream's blocks follow each other by offset, so that a block can be sought by it. A null stream gives no rows. Carried columns must not have the names above.
+    """
     ship(media.sparkSession)
+    own = media.where("media IS NOT NULL").select("doc_id", *(carry or []), "media")
+    fields = [own.schema["doc_id"], *[own.schema[c] for c in carry or []]]
+    schema = StructType(list(fields)).add("sample_offset", "long").add("n_samples", "long").add("pcm", "binary")
 
     def decode(batches):
         for batch in chunks(batches, 2 << 20, "media"):
-            docs, at, blocks = [], [], []
-            for doc, x in zip(batch.column("doc_id").to_pylist(), decode_media(batch.column("media")), strict=True):
+            rows, at, sizes, blocks = [], [], [], []
+            for i, x in enumerate(decode_media(batch.column("media"))):
                 for start in range(0, len(x), samples):
-                    docs.append(doc), at.append(start), blocks.append(x[start : start + samples].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at, pa.int64()), pa.array(blocks, pa.binary())], names=["doc_id", "sample_offset", "pcm"])
+                    rows.append(i), at.append(start), sizes.append(len(x)), blocks.append(x[start : start + samples].tobytes())
+            taken = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[taken.column(f.name) for f in fields], pa.array(at, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.binary())], names=schema.names)
 
-    return media.where("media IS NOT NULL").select("doc_id", "media").mapInArrow(decode, "doc_id long, sample_offset long, pcm binary")
+    return own.mapInArrow(decode, schema)
 
 
 def feature(x: np.ndarray) -> str:
@@ -366,27 +409,45 @@ def feature(x: np.ndarray) -> str:
     return f"mean={mean};rms={isqrt(int((wide * wide).sum()) // len(x))};crossings={int((above[1:] != above[:-1]).sum())};span={int(wide.max() - wide.min())}"
 
 
-def read_media(media: DataFrame) -> DataFrame:
-    """Decodes rows (doc_id, n_bytes, payload_bytes, media) and describes payload and stream; payload_bytes that the stream does not hold are an error."""
-    ship(media.sparkSession)
+def describe_blocks(blocks: DataFrame) -> DataFrame:
+    """Puts streams together again from pcm_blocks() rows as they come (carrying n_bytes, payload_bytes, media_bytes, media_sha256) and describes each payload.
+
+    Blocks that are missing, out of place, or other than payload_bytes in all are an error. One stream is held at a time.
+    """
+    ship(blocks.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def describe(batches):
+        held, size = [], 0
+        for batch in batches:
+            offsets, wholes, rows = batch.column("sample_offset").to_pylist(), batch.column("n_samples").to_pylist(), []
+            for i, pcm in enumerate(batch.column("pcm")):
+                if offsets[i] != size:
+                    raise ValueError("a block of samples is out of place")
+                held.append(np.frombuffer(pcm.as_buffer(), np.int8))
+                size += len(held[-1])
+                if size == wholes[i]:
+                    x = np.concatenate(held)
+                    payload = (x.view(np.uint8) ^ 0x80).tobytes()
+                    own = {c: batch.column(c)[i].as_py() for c in ("doc_id", "n_bytes", "payload_bytes", "media_bytes", "media_sha256")}
+                    if own["payload_bytes"] != size:
+                        raise ValueError("a stream has another length than its row says")
+                    rows.append(own | {"payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "feature": feature(x)})
+                    held, size = [], 0
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in rows], pa.string() if c in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for c in names})
+        if held:
+            raise ValueError("the last stream's blocks are not all there")
+
+    return blocks.mapInArrow(describe, schema)
 
-    def read(batches):
-        for batch in chunks(batches, 2 << 20, "media"):
-            streams = batch.column("media").to_pylist()
-            decoded = decode_media(batch.column("media"))
-            payloads = [(x.view(np.uint8) ^ 0x80).tobytes() for x in decoded]
-            if [len(p) for p in payloads] != batch.column("payload_bytes").to_pylist():
-                raise ValueError("a stream has another length than its row says")
-            columns = [
-                batch.column("doc_id"), batch.column("n_bytes"), batch.column("payload_bytes"),
-                pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()),
-                pa.array([len(s) for s in streams], pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in streams]), pa.array([feature(x) for x in decoded], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
-    return media.mapInArrow(read, schema)
+def read_media(media: DataFrame) -> DataFrame:
+    """Decodes rows (doc_id, n_bytes, payload_bytes, media) through PCM blocks and describes payload and stream."""
+    told = media.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    return describe_blocks(pcm_blocks(told, carry=["n_bytes", "payload_bytes", "media_bytes", "media_sha256"]))
 
 
 def op6_flac_media(spark, sf_dir: str) -> DataFrame:
-    return read_media(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    media = store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return read_media(stored(media, "flac-media"))

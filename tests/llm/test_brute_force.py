@@ -8,9 +8,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat, flac, jaccard, mixing, packing, repetition, suffix_dedup, token_counts, token_files, url_rules
+from tidemark.llm import chat, flac, induced, jaccard, mixing, packing, repetition, suffix_dedup, token_counts, token_files, url_rules
 from tidemark.llm.tokens import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,13 +42,67 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_mix(spark, docs):
-    rows = mixing.mix(docs, [3, 1, 2]).collect()
-    assert len(rows) == len(fixture()) and sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs, [3, 1, 2]).collect()))
+def brute_mix(rows, weights, weigh=None, share=1.5, cap=2.0, seed=17):
+    """Copies of rows (doc_id, text, source), in their order; weigh(row, size) gives their weights."""
+    sizes = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    weight = [weigh(r, n) if weigh else n.bit_length() or 1 for r, n in zip(rows, sizes)]
+    total = collections.Counter()
+    for (_, _, s), n in zip(rows, sizes):
+        total[s] += n
+    names = sorted(total, key=lambda s: (s is None, s))
+    part = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, left, full = {}, share * sum(total.values()), set()
+    while True:  # those above their cap get it, the rest goes to the others by weight
+        level = left / max(1, sum(part[s] for s in names if s not in full))
+        over = [s for s in names if s not in full and part[s] * level > cap * total[s]]
+        if not over:
+            target = {s: cap * total[s] if s in full else part[s] * level for s in names}
+            break
+        full.update(over)
+        left = share * sum(total.values()) - cap * sum(total[s] for s in full)
+    out = [0] * len(rows)
+    for s in names:
+        own = [i for i, r in enumerate(rows) if r[2] == s]
+        capped = set()
+        while total[s]:
+            goal = target[s] - cap * sum(sizes[i] for i in capped)
+            level = goal / max(1e-9, sum(weight[i] * sizes[i] for i in own if i not in capped))
+            more = {i for i in own if i not in capped and weight[i] * level > cap * (1 + 1e-12)}
+            if not more:
+                break
+            capped |= more
+        expected = {i: (cap if i in capped else level * weight[i]) if total[s] else 0.0 for i in own}
+        ranked, certain = [], 0
+        for i in own:
+            out[i] = int(expected[i])
+            certain += out[i] * sizes[i]
+            p = expected[i] - out[i]
+            number, text, _ = rows[i]
+            inner = hashlib.md5((text or "").encode()).hexdigest()
+            u = (int(hashlib.md5(f"{seed}:{'null' if number is None else number}:{inner}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+            if p > 0 and sizes[i]:
+                ranked.append((u * (1 - p) / (u * (1 - p) + (1 - u) * p), (number is not None, number), sizes[i], i))
+        upto = 0
+        for _, _, n, i in sorted(ranked):
+            upto += n
+            out[i] += upto - n / 2 <= target[s] - certain
+    return out, target
+
+
+@pytest.mark.parametrize("column", [None, "n_chars"])
+def test_mix(spark, docs, column):
+    rows = mixing.mix(docs, [3, 1, 2], weight_col=column).collect()
+    assert len(rows) == len(fixture()) and sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs, [3, 1, 2], weight_col=column).collect()))
     for source in {r.source for r in rows}:
         own = [r for r in rows if r.source == source]
         assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
     assert all(r.taken <= 2 * r.size and r.size == len(WORD.findall(next(t for i, t, *_ in fixture() if i == r.doc_id) or "")) for r in rows)
+    given = {(i, t): n for i, t, _, _, n, *_ in fixture()}
+    plain = [(i, t, s) for i, t, _, s, *_ in fixture()]
+    copies, target = brute_mix(plain, [3, 1, 2], (lambda r, n: given[r[:2]]) if column else None)
+    assert collections.Counter((r.doc_id, r.copies) for r in rows) == collections.Counter((r[0], c) for r, c in zip(plain, copies))
+    assert all(abs(r.target - target[r.source]) < 1e-6 for r in rows)
+    assert len({round(r.expected, 9) for r in rows if r.source == "s1" and r.size}) > 2  # inclusion is unequal within a source
     assert mixing.mix(empty(spark), [3, 1, 2]).count() == 0
 
 
@@ -60,39 +115,106 @@ def test_chat(spark):
     assert back[1] == [(role, t or "", (t or "") if role == "assistant" else None) for _, _, role, t in rows[:5]]
     assert back[None] == [("", "x", None)] and back[2] == [("assistant<|body|>\n", "y", None)]
     parts = spark.sql("SELECT 1 AS conv_id, 0 AS turn, 'user' AS role, array(named_struct('type', 'image', 'text', null, 'ref', 'a.png', 'units', 2L), named_struct('type', 'text', 'text', 'hi', 'ref', null, 'units', null)) AS parts")
+    twice = chat.read_chats(chat.format_chats(spark.createDataFrame([(1, 0, "user", t) for t in ("b", "a", "a")], "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))).head()
+    assert [t.text for t in twice.turns] == ["a", "a", "b"]
+    kinds = spark.sql("SELECT 1 AS conv_id, 0 AS turn, 'user' AS role, array(named_struct('type', 'audio', 'text', null, 'ref', 'b|>.wav', 'units', 3L), named_struct('type', 'document', 'text', null, 'ref', null, 'units', 0L), named_struct('type', 'odd', 'text', 'seen', 'ref', null, 'units', null)) AS parts")
+    row = chat.format_chats(kinds).head()
+    assert row.expanded_tokens == 3 * 25 + 512 and [(x.kind, x.ref, x.tokens) for x in row.attachments] == [("audio", "b|>.wav", 75), ("document", None, 512)]
+    assert row.formatted == "<|turn|>user<|body|><|audio b|>.wav 75|><|document  512|>seen<|end|>"
+    assert chat.read_chats(chat.format_chats(parts.limit(0))).count() == 0
     row = chat.format_chats(parts).head()
     assert row.expanded_tokens == 512 and row.attachments[0].ref == "a.png" and row.formatted == "<|turn|>user<|body|><|image a.png 512|>hi<|end|>"
 
 
+def brute_quality(text):
+    """Counts, shares and verdict of one text."""
+    t = text or ""
+    w = WORD.findall(t)
+    grams = collections.Counter(zip(w, w[1:], w[2:]))
+    inside = {i + k for i, g in enumerate(zip(w, w[1:], w[2:])) if grams[g] > 1 for k in range(3)}
+    chars = sum(map(len, w))
+    shares = []
+    for n in range(5, 11):
+        said, again = set(), set()
+        for i in range(len(w) - n + 1):
+            g = tuple(w[i : i + n])
+            if g in said:
+                again.update(range(i, i + n))
+            said.add(g)
+        shares.append(sum(len(w[i]) for i in again) / max(1, chars))
+    lines, before, dup = [x for x in t.split("\n") if WORD.search(x)], set(), []
+    for x in lines:
+        if x in before:
+            dup.append(x)
+        before.add(x)
+    shares += [len(dup) / max(1, len(lines)), sum(map(len, dup)) / max(1, sum(map(len, lines)))]
+    failed = len(w) < 50 or 100 * len(inside) > 50 * len(w)
+    good = not failed and all(x <= most for x, most in zip(shares, [0.15, 0.14, 0.13, 0.12, 0.11, 0.10])) and (shares[6] <= 0.3 or len(dup) < 2) and shares[7] <= 0.2
+    return (len(w), chars, len(re.findall(r"[#*$%&|<>]", t)), len(dup), len(inside)), shares, failed, good
+
+
+def repeating():
+    """Texts that say lines and phrases again, each a little more than the one before."""
+    rng = random.Random(11)
+    line = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(12))
+    out = []
+    for k in range(0, 14):
+        fresh, again = [line() for _ in range(20)], line()
+        out += ["\n".join(fresh + [again] * k), " ".join(fresh + [f"{again} {i}" for i in range(k)])]
+    return out
+
+
 def test_quality(spark, docs):
-    for r in repetition.quality(docs).collect():
-        t = r.text or ""
-        w = WORD.findall(t)
-        grams = collections.Counter(zip(w, w[1:], w[2:]))
-        inside = {i + k for i, g in enumerate(zip(w, w[1:], w[2:])) if grams[g] > 1 for k in range(3)}
-        lines = [x for x in t.split("\n") if WORD.search(x)]
-        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(inside))
-        assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", t)) and r.base_failed == (len(w) < 50 or 100 * len(inside) > 50 * len(w))
+    more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(repeating())], "doc_id long, text string")
+    rows = repetition.quality(docs.select("doc_id", "text").union(more)).collect()
+    verdicts = collections.Counter()
+    for r in rows:
+        counts, shares, failed, good = brute_quality(r.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == (*counts, failed, good)
+        assert [r[c] for c in repetition.SHARES] == pytest.approx(shares)
+        verdicts[failed, good] += 1
+    assert verdicts[False, False] > 5 and verdicts[False, True] > 5
     assert repetition.quality(empty(spark)).count() == 0
 
 
+def brute_repeats(raw, length):
+    """Which bytes of each of some byte strings lie in strings of `length` that start in two places or more."""
+    found = collections.Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - length + 1):
+            if found[b[k : k + length]] > 1:
+                gone[k : k + length] = True
+        out.append(gone)
+    return out
+
+
 @pytest.mark.parametrize("most", [2048, 1])
 def test_suffix(spark, docs, most, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MOST_STRETCHES", most)
-    length, found = 60, collections.Counter()
     raw = [(i, (t or "").encode()) for i, t, *_ in fixture()]
-    for _, b in raw:
-        found.update(b[i : i + length] for i in range(len(b) - length + 1))
     want = []
-    for i, b in raw:
-        gone = np.zeros(len(b), bool)
-        for k in range(len(b) - length + 1):
-            if found[b[k : k + length]] > 1:
-                gone[k : k + length] = True
+    for (i, b), gone, told in zip(raw, brute_repeats([b for _, b in raw], 90), brute_repeats([b for _, b in raw], 60)):
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        want.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
-    got = suffix_dedup.remove_repeats(docs.select("doc_id", "text"), length).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+        want.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest(), int(told.sum())))
+    own = docs.select("doc_id", "text", F.lit("x").alias("n_bytes"), F.lit(1).alias("spans"), F.lit(2).alias("tkey"))  # clashing columns are replaced
+    got = suffix_dedup.remove_repeats(own, 90, passage=60)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert suffix_dedup.remove_repeats(empty(spark), 90, passage=60).count() == 0
+
+
+def test_suffix_array():
+    rng = random.Random(2)
+    for block in (1, 256):
+        induced.BLOCK = block
+        for _ in range(300):
+            letters, text = rng.choice([1, 2, 3, 9, 300]), []
+            part = [rng.randrange(letters) for _ in range(rng.randrange(1, 20))]
+            while len(text) < rng.randrange(1, 150):
+                text += part if rng.random() < 0.5 else [rng.randrange(letters)]
+            assert induced.suffix_array(np.array(text, np.int64)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
 
 
 @pytest.mark.parametrize("tile", [1024, 2])
@@ -111,6 +233,89 @@ def test_jaccard(spark, docs, tile, monkeypatch):
     want = [(r[0], len(s), first[n]) for r, s, n in zip(rows, sets, name)]
     got = jaccard.jaccard_classes(docs, 4, 85).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert jaccard.jaccard_classes(empty(spark), 4, 85).count() == 0
+
+
+class BitWriter:
+    """Numbers as bits, one after the other; written apart from the encoder, so that the decoder meets streams of another hand."""
+
+    def __init__(self):
+        self.bits = ""
+
+    def put(self, value, width):
+        self.bits += format(value & ((1 << width) - 1), f"0{width}b") if width else ""
+
+    def rice(self, value, k):
+        folded = 2 * value if value >= 0 else -2 * value - 1
+        self.bits += "0" * (folded >> k) + "1"
+        self.put(folded, k)
+
+    def done(self):
+        self.bits += "0" * (-len(self.bits) % 8)
+        return bytes(int(self.bits[i : i + 8], 2) for i in range(0, len(self.bits), 8))
+
+
+def crc_of(data, poly, width):
+    crc = 0
+    for byte in data:
+        crc ^= byte << (width - 8)
+        for _ in range(8):
+            crc = (crc << 1 ^ (poly if crc >> (width - 1) else 0)) & ((1 << width) - 1)
+    return crc
+
+
+def foreign_stream(samples, frames):
+    """A stream without a seek table. frames: for each 192 samples, coefficients, shift, precision (0: a fixed predictor), coding method, and per partition a Rice parameter or None (unencoded)."""
+    out = b""
+    for number, (coefs, shift, precision, method, partitions) in enumerate(frames):
+        x = [int(v) for v in samples[number * 192 : (number + 1) * 192]]
+        head = bytes([0xFF, 0xF8, 0x14, 0x02, number])
+        w = BitWriter()
+        order = len(coefs)
+        w.put((32 + order - 1 if precision else 8 + order) << 1, 8)
+        for v in x[:order]:
+            w.put(v, 8)
+        if precision:
+            w.put(precision - 1, 4), w.put(shift, 5)
+            for c in coefs:
+                w.put(c, precision)
+        residual = [x[t] - (sum(c * x[t - 1 - j] for j, c in enumerate(coefs)) >> shift) for t in range(order, 192)]
+        w.put(method, 2), w.put(len(partitions).bit_length() - 1, 4)
+        at = 0
+        for i, k in enumerate(partitions):
+            own = residual[at : at + 192 // len(partitions) - (order if i == 0 else 0)]
+            at += len(own)
+            if k is None:
+                size = max([1, *[v.bit_length() + 1 for v in own]]) if any(own) else 0
+                w.put(31 if method else 15, 5 if method else 4), w.put(size, 5)
+                for v in own:
+                    w.put(v, size)
+            else:
+                w.put(k, 5 if method else 4)
+                for v in own:
+                    w.rice(v, k)
+        frame = head + bytes([crc_of(head, 0x07, 8)]) + w.done()
+        out += frame + crc_of(frame, 0x8005, 16).to_bytes(2, "big")
+    info = b"".join([(192).to_bytes(2, "big") * 2, bytes(6), (8000 << 44 | 7 << 36 | len(samples)).to_bytes(8, "big"), hashlib.md5(np.array(samples, np.int8).tobytes()).digest()])
+    return b"fLaC" + b"\x80" + len(info).to_bytes(3, "big") + info + out
+
+
+def test_flac_of_another_hand():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    wave = [max(-128, min(127, int(90 * np.sin(i / 7)) + rng.randrange(-9, 10))) for i in range(192 * 6)]
+    wave[192 * 4 : 192 * 4 + 48] = [5] * 48
+    frames = [
+        ([2, -1], 0, 0, 0, [3, 4, None, 2]), ([1, -3, 2], 1, 4, 1, [5] * 8), ([], 0, 0, 0, [4, None]), ([3, -3, 1], 0, 0, 1, [None]),
+        ([1], 0, 0, 0, [None, 3, 3, None]), ([7, -4, 1, 1, -2, 1, 0, 1, -1, 2], 2, 6, 0, [4]),
+    ]
+    stream = foreign_stream(wave, frames)
+    assert flac.decode_media(pa.array([stream, stream], pa.binary()))[1].tolist() == wave
+    damaged = bytearray(stream)
+    damaged[60] ^= 1
+    with pytest.raises(ValueError):
+        flac.decode_media(pa.array([bytes(damaged)], pa.binary()))
 
 
 def test_flac(spark, docs):
@@ -119,7 +324,14 @@ def test_flac(spark, docs):
         raw = (next(t for i, t, *_ in fixture() if i == r.doc_id) or "").encode()
         payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-    assert {r.sample_offset % (16 * 192) for r in flac.pcm_blocks(media).collect()} == {0}
+    blocks = flac.pcm_blocks(media, samples=192).collect()
+    for i, t in {(r[0], r[1]) for r in fixture() if r[0] is not None and r[0] != 30}:
+        raw = (t or "").encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
+        own = [r for r in blocks if r.doc_id == i]
+        assert {r.n_samples for r in own} == {len(payload)} and len(own) == len(payload) // 192
+        assert all((np.frombuffer(r.pcm, np.uint8) ^ 0x80).tobytes() == payload[r.sample_offset : r.sample_offset + 192] for r in own)
+    assert flac.read_media(flac.store_media(empty(spark))).count() == 0
     stream = bytearray(flac.encode_media([b"abc def " * 240])[0])
     stream[-9] ^= 4
     import pyarrow as pa
@@ -134,6 +346,7 @@ def test_urls(spark):
     rules = spark.createDataFrame(url_rules.RULES, url_rules.RULE_SCHEMA)
     got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(df, rules).collect()}
     assert got == {0: (None, "allow"), 1: (None, "allow"), 2: (None, "allow"), 3: ("org/", "allow"), 4: ("org/", "allow"), 5: ("example.org/es/", "block"), 6: ("example.org/en/1", "block"), 7: (None, "allow"), 8: ("com/de/", "block"), 9: (None, "allow"), 10: (None, "allow"), 11: (None, "allow")}
+    assert url_rules.judge_urls(df.limit(0), rules).count() == 0
 
 
 def test_tokens(spark, docs, tmp_path):
@@ -149,6 +362,9 @@ def test_tokens(spark, docs, tmp_path):
         assert r.start == start and np.frombuffer(r.ids, "<u4").tolist() == ids[r.doc_id] + [2]
         start += r.n_tokens
     assert [r.doc_id for r in token_files.read_token_files(spark, f"file://{tmp_path}/ids", [7]).collect()] == [7]
+    token_files.write_token_files(empty(spark), f"file://{tmp_path}/none", tokenizer_path(), 2)
+    assert token_files.read_token_files(spark, f"file://{tmp_path}/none").count() == 0
+    assert token_counts.count_tokens(empty(spark), tokenizer_path()).count() == 0 and packing.pack_documents(empty(spark), tokenizer_path(), 2).count() == 0
     pieces = packing.pack_documents(docs, tokenizer_path(), 2).collect()
     assert sum(r.length for r in pieces) == start
     for r in pieces:
@@ -161,19 +377,82 @@ def test_tokens(spark, docs, tmp_path):
     assert all(full[r.sequence_id] == r.tier for r in pieces)
 
 
-def test_pipeline_stages(spark, docs):
-    rows = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    kept = corpus_pipeline.quality_rules(spark, rows, "")
-    good = {r.doc_id for r in repetition.quality(rows).where("kept").collect()}
-    assert {r.doc_id for r in kept.collect()} == good
-    one = corpus_pipeline.near_duplicates(spark, kept, "")
-    classes = jaccard.jaccard_classes(kept, 5, 80).collect()
-    assert {r.doc_id for r in one.collect()} == {r.component_id for r in classes}
-    cut = corpus_pipeline.repeated_passages(spark, one, "")
-    assert cut.count() == one.count() and cut.columns == corpus_pipeline.COLUMNS
-    mixed = corpus_pipeline.source_mix(spark, cut, "")
-    assert mixed.count() == sum(r.copies for r in mixing.mix(cut, mixing.WEIGHTS).collect())
-    assert corpus_pipeline.packing(spark, mixed, "").count() >= mixed.count()
+def brute_pipeline(rows, length):
+    """(doc_id, text, source) rows that each stage leaves, for distinct numbers; after the mix as often as it takes them."""
+    kept = [r for r in rows if brute_quality(r[1])[3]]
+    sets = []
+    for _, t, _ in kept:
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    name = list(range(len(kept)))
+    for _ in kept:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                    name[i] = name[j] = min(name[i], name[j], key=lambda k: kept[k][0])
+    one = [r for k, r in enumerate(kept) if name[k] == k]
+    cut = []
+    raw = [(t or "").encode() for _, t, _ in one]
+    for (i, t, s), b, gone in zip(one, raw, brute_repeats(raw, length)):
+        out, at = b"", 0
+        for c in t or "":
+            n = len(c.encode())
+            out += b"" if gone[at : at + n].all() else b[at : at + n]
+            at += n
+        cut.append((i, None if t is None else out.decode(), s))
+    copies, _ = brute_mix(cut, mixing.WEIGHTS)
+    return kept, one, cut, [r for r, n in zip(cut, copies) for _ in range(n)]
+
+
+def passages():
+    """Documents of distinct words that share passages of 30 to 90 words, some of them in three places."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopé") for _ in range(rng.randrange(3, 9)))
+    say = lambda n: [word() for _ in range(n)]
+    shared = [say(n) for n in (30, 45, 51, 55, 60, 75, 90)]
+    out = []
+    for k, p in enumerate(shared):
+        out += [say(90 + 9 * k) + p + say(120) for _ in range(2 + k % 2)]
+    return [" ".join(w) for w in out], [" ".join(p) for p in shared]
+
+
+def test_pipeline(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts, shared = passages()
+    rows = [r for r in {r[0]: r for r in fixture()}.values() if r[0] is not None]
+    rows += [(500 + i, t, "en", f"s{i % 2}", len(t), 0, 0) for i, t in enumerate(texts + [texts[0]] + repeating())]
+    docs = spark.createDataFrame(rows, SCHEMA).select(*corpus_pipeline.COLUMNS).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    after = brute_pipeline([(i, t, s) for i, t, _, s, *_ in rows], corpus_pipeline.PASSAGE_BYTES)
+    for p in shared:  # passages of 51 words and more are gone, whole
+        assert len(p.split()) < 51 or not any(p in (t or "") for _, t, _ in after[2])
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], after, strict=True):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == corpus_pipeline.COLUMNS, name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert sorted([(r.doc_id, r.text, r.source) for r in docs.collect()], key=repr) == sorted(want, key=repr), name
+        assert all(name == "quality rules" or name == "near duplicates" or r.n_chars == len(r.text or "") for r in docs.collect())
+    plain = Tokenizer.from_file(tokenizer_path())
+    ids = {i: plain.encode(t or "", add_special_tokens=False).ids + [2] for i, t, _ in after[3]}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    times = collections.Counter(i for i, _, _ in after[3])
+    covered = collections.Counter()
+    for r in pieces:
+        own = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert len(own) == r.length and zlib.crc32(own.tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        covered.update((r.doc_id, k) for k in range(r.start, r.start + r.length))
+    assert covered == collections.Counter({(i, k): times[i] for i in times for k in range(len(ids[i]))})
+
+
+def test_pipeline_odd_rows(spark):
+    odd = [(None, None, None, None, None), (1, "", None, None, 0), (1, "", None, None, 0), (2, " \n", "en", "s", 2), (3, "é" * 5000, "fr", "s", 5000)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        want = {"quality rules": 0, "near duplicates": 4, "repeated passages": 5, "source mix": None, "packing": None}[name]
+        got = stage(spark, docs, "")
+        assert want is None or got.count() == want, name
+        assert stage(spark, docs.limit(0), "").count() == 0
 
 
 def test_near_duplicates_repeated_ids(spark):

@@ -47,8 +47,8 @@ def text_parts(text: Column) -> Column:
 def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """Formats conversations given as rows (conv_id, turn, role, parts), parts as PART_SCHEMA.
 
-    Returns per conv_id: formatted, segments (per turn: start of the turn and of its body in code points from 0, length of the body,
-    whether it is under the loss mask), attachments (turn order: kind, ref, tokens) and expanded_tokens.
+    Returns per conv_id: formatted, segments (per turn: body_start, the code points from the turn's mark to its body, body_length, and loss, whether it is
+    under the loss mask), attachments (turn order: kind, ref, tokens) and expanded_tokens.
 
     Null role, text or parts: empty. Unknown part types: their text. Null turn: first. Null conv_id: a conversation of its own. Equal turns: by role, then
     text. Repeated rows: repeated turns. Empty table: no rows. Other columns are not read.

@@ -61,3 +61,14 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         ingest(spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/cp").awaitTermination(60)
     assert values(store.live()) == {b"a": b"1", b"b": b"2"} and store.snapshot() == 2
+
+
+def test_two_writers(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db")
+    state = store.state()
+    store.write(ops(spark, (PUT, b"a", b"1")))
+    late = Store(spark, f"file://{tmp_path}/db")
+    late.state = lambda: state  # read before the other's commit
+    with pytest.raises(StoreError):
+        late.write(ops(spark, (PUT, b"b", b"2")))
+    assert values(store.live()) == {b"a": b"1"}

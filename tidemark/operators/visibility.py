@@ -130,8 +130,14 @@ def counter_history(log: DataFrame, strategy: str = "auto") -> DataFrame:
     return ops.select("cf_id", "key", "seq", F.when(some == 1, wrapping_sum_over(inside)).alias("value"))
 
 
+def add_results(log: DataFrame) -> DataFrame:
+    """What each add returns, the counter's value right after it: cf_id, key, seq, value."""
+    adds = log.where(F.col("op") == ADD).select("cf_id", "key", "seq")
+    return counter_history(log).join(adds, ["cf_id", "key", "seq"], "left_semi")
+
+
 def wrapping_sum_over(window) -> F.Column:
     return wrapped(F.sum(F.coalesce("v", F.lit(0)).cast("decimal(20,0)")).over(window).cast("decimal(38,0)"))
 
 
-__all__ = ["as_of", "counter_history", "counters", "covered", "fragments", "latest", "newest_cover", "ranges", "visible", "wrapping_sum"]
+__all__ = ["add_results", "as_of", "counter_history", "counters", "covered", "fragments", "latest", "newest_cover", "ranges", "visible", "wrapping_sum"]

@@ -186,6 +186,13 @@ def kv_purge_objects(spark, d):
     return m.purgeable_objects(objects, m.purge(objects, 4))
 
 
+def kv_limited_scan(spark, d):
+    """The first 25 live customers, keys and values as base64, and whether there are more."""
+    log = _strings(spark, d).withColumn("key", F.col("key").cast("binary")).withColumn("end_key", F.col("end_key").cast("binary")).withColumn("value", F.col("value").cast("string").cast("binary"))
+    rows, more = reads.limited_scan(log, 25)
+    return rows.withColumn("truncated", F.lit(more))
+
+
 def kv_custom_order(spark, d):
     """Customers in the order of their names read backwards, from one name to another."""
     log = ordered_by(_strings(spark, d), F.reverse)
@@ -236,6 +243,8 @@ QUERIES = {
     "kv_purge_objects": kv_purge_objects,
     "kv_orphan_objects": lambda s, d: m.orphan_objects(_objects(s, d).select("object_id").distinct(), _objects(s, d).where("backup_id > 6")),
     "kv_custom_order": kv_custom_order,
+    "kv_limited_scan": kv_limited_scan,
+    "kv_add_results": lambda s, d: visibility.add_results(_log(s, d)).select("key", "seq", "value"),
     "rep_rates": rep_rates,
     "rep_percentiles": lambda s, d: reports.summary(_values(s, d), "event_type", "value").select("event_type", "n", "min", "max", "p05", "p50", "p95"),
     "rep_histogram": lambda s, d: reports.histogram(_values(s, d), "event_type", "micros"),
@@ -422,5 +431,7 @@ ORACLES |= {
     "kv_orphan_objects": f"WITH {_FILES}, o AS (SELECT concat_ws('-', name, CAST(size AS VARCHAR)) AS object_id, backup_id FROM files) SELECT DISTINCT object_id FROM o WHERE object_id NOT IN (SELECT object_id FROM o WHERE backup_id > 6)",
     "kv_custom_order": "SELECT c_name AS key, c_custkey AS seq, CAST(c_nationkey AS BIGINT) AS value FROM customer WHERE c_custkey % 10 != 0 AND reverse(c_name) >= reverse('Customer#000000001') AND reverse(c_name) < reverse('Customer#000000005')",
 }
+ORACLES["kv_limited_scan"] = "SELECT to_base64(encode(c_name)) AS key, to_base64(encode(CAST(c_nationkey AS VARCHAR))) AS value, (SELECT count(*) FROM customer WHERE c_custkey % 10 != 0) > 25 AS truncated FROM customer WHERE c_custkey % 10 != 0 ORDER BY c_name LIMIT 25"
+ORACLES["kv_add_results"] = ORACLES["kv_counter_history_whole"].replace("SELECT key, seq, CASE WHEN max(", "SELECT key, seq, value FROM (SELECT key, seq, op, CASE WHEN max(").replace(" AS value FROM cut WINDOW", " AS value FROM cut WINDOW") + ") WHERE op = 3"
 #: DuckDB's name of the text type, where a mapping's text is shared.
 ORACLES = {k: v.replace("AS STRING)", "AS VARCHAR)") for k, v in ORACLES.items()}

@@ -1,6 +1,7 @@
-"""A table folder as a database: immutable Parquet runs, an append-only manifest, families, snapshots, checkpoints and backups.
+"""A table folder as a database: immutable Parquet runs, an append-only manifest, families, snapshots and checkpoints.
 
-The folder holds runs/<n> (one per commit or compaction), manifest/<version> and families. A commit is visible once its manifest version is written; writers take turns.
+The folder holds runs/<n> (one per commit or compaction), manifest/<version> and families. A commit is visible once its manifest version is written. A version is claimed by a file
+that only one writer can create; a writer that comes second is refused and may try again. Runs are sorted by family and key, so that bounds on the key prune them by their statistics.
 """
 
 from __future__ import annotations
@@ -56,6 +57,18 @@ class Store:
         df.write.parquet(f"{self.path}/{name}")
         return f"{self.path}/{name}"
 
+    def _publish(self, version: int, rows: DataFrame) -> None:
+        """Writes a manifest version, or refuses: of two writers that read one state, one goes on. A claim goes again if the write fails; one that a dying writer left is removed by hand."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/{version}")
+        files = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not files.createNewFile(path):
+            raise StoreError("another writer has taken this version")
+        try:
+            self._write(rows.coalesce(1), f"manifest/{version}")
+        except Exception:
+            files.delete(path, False)
+            raise
+
     def _edits(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(f"{self.path}/manifest")
@@ -102,7 +115,7 @@ class Store:
         path = self._write(numbered(ops, last).select(*OP_LOG.names).repartitionByRange("cf_id", "key").sortWithinPartitions("cf_id", "key", F.col("seq").desc()), f"runs/{run + 1}-{uuid.uuid4().hex[:8]}")
         count, top = self.spark.read.schema(OP_LOG).parquet(path).agg(F.count(F.lit(1)), F.max("seq")).head()
         if count:
-            self._write(self.spark.createDataFrame([(version + 1, run + 1, path, last + 1, top, count, True)], MANIFEST).coalesce(1), f"manifest/{version + 1}")
+            self._publish(version + 1, self.spark.createDataFrame([(version + 1, run + 1, path, last + 1, top, count, True)], MANIFEST))
         for p in self.plugins:
             if p.after:
                 try:
@@ -126,7 +139,7 @@ class Store:
         count = self.spark.read.schema(OP_LOG).parquet(path).count()
         gone = old.select(F.lit(version + 1).alias("version"), "run", "path", "first_seq", "last_seq", "ops", F.lit(False).alias("added"))
         new = self.spark.createDataFrame([(version + 1, run + 1, path, 1, last, count, True)], MANIFEST)
-        self._write(gone.union(new).coalesce(1), f"manifest/{version + 1}")
+        self._publish(version + 1, gone.union(new))
         return count
 
     def families(self) -> DataFrame:

@@ -13,8 +13,8 @@ from ..operators import maintenance as m
 from ..operators import reads, reports, visibility
 from ..sources.oplog import EVENT_COLUMNS, event_log, numbered, ordered_by
 
-#: Sequence numbers at which the queries read, and keys they ask for.
-AS_OF, EARLIER, KEYS = 9000, 4000, [3, 149, 3, 9999, 0, 77]
+#: Keys that the queries ask for.
+KEYS = [3, 149, 3, 9999, 0, 77]
 
 FILES = {
     "file_no": "o_orderkey", "cf_id": "CAST(o_orderkey % 3 AS INT) + 1", "level": "CAST(o_custkey % 7 AS INT)", "size": "CAST(floor(o_totalprice * 100) AS BIGINT)",
@@ -51,34 +51,42 @@ def _values(spark, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select("event_type", "value", "user_id", F.col("event_id").alias("id"), (F.col("value") * 40).alias("micros"))
 
 
+def _newest(log: DataFrame) -> int:
+    """The newest sequence number, by a one-row aggregate; -1 for an empty log."""
+    return log.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("seq")).head().seq
+
+
+def _late(log: DataFrame) -> int:
+    """The snapshot at which the queries read, at nine tenths of the log: it grows with it."""
+    return _newest(log) * 9 // 10
+
+
 def kv_multi_get(spark, d):
-    return reads.multi_get(_log(spark, d), KEYS, seq=AS_OF)
+    log = _log(spark, d)
+    return reads.multi_get(log, KEYS, seq=_late(log))
 
 
 def kv_verify_model(spark, d):
     log = _log(spark, d)
-    model = visibility.latest(visibility.as_of(log, AS_OF)).where("op = 1")
-    return m.verify_model(model, visibility.visible(log, AS_OF)).select("key", "problem")
+    late = _late(log)
+    model = visibility.latest(visibility.as_of(log, late)).where("op = 1")
+    return m.verify_model(model, visibility.visible(log, late)).select("key", "problem")
 
 
 def kv_compact_survivors(spark, d):
-    kept = m.compaction_verdicts(_log(spark, d).where("op != 3"), AS_OF).where("keep")
+    log = _log(spark, d)
+    kept = m.compaction_verdicts(log.where("op != 3"), _late(log)).where("keep")
     return kept.select("key", "seq", "op")
 
 
 def kv_compact_live(spark, d):
-    log = _log(spark, d).where("op != 3")
-    return _plain(visibility.visible(m.compacted(log, AS_OF), None))
-
-
-def _newest(log: DataFrame) -> int:
-    """The newest sequence number, by a one-row aggregate; -1 for an empty log."""
-    return log.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("seq")).head().seq
+    log = _log(spark, d)
+    return _plain(visibility.visible(m.compacted(log.where("op != 3"), _late(log)), None))
 
 
 def kv_live_as_of_whole(spark, d):
     log = _log(spark, d)
-    return _plain(visibility.visible(log, _newest(log) * 9 // 10))
+    return _plain(visibility.visible(log, _late(log)))
 
 
 def kv_verify_model_whole(spark, d):
@@ -202,29 +210,29 @@ def kv_custom_order(spark, d):
 
 QUERIES = {
     "kv_live_latest": lambda s, d: _plain(visibility.visible(_log(s, d))),
-    "kv_live_as_of": lambda s, d: _plain(visibility.visible(_log(s, d), AS_OF)),
-    "kv_live_swept": lambda s, d: _plain(visibility.visible(_log(s, d), AS_OF, "sweep")),
-    "kv_point_get": lambda s, d: _plain(reads.get(_log(s, d), 149, seq=AS_OF)),
+    "kv_live_as_of": lambda s, d: _plain(visibility.visible(log := _log(s, d), _late(log))),
+    "kv_live_swept": lambda s, d: _plain(visibility.visible(log := _log(s, d), _late(log), "sweep")),
+    "kv_point_get": lambda s, d: _plain(reads.get(log := _log(s, d), 149, seq=_late(log))),
     "kv_multi_get": kv_multi_get,
-    "kv_scan_limit": lambda s, d: _plain(reads.scan(_log(s, d), seq=AS_OF, limit=20)),
-    "kv_reverse_scan": lambda s, d: _plain(reads.scan(_log(s, d), seq=AS_OF, reverse=True)),
-    "kv_seek": lambda s, d: _plain(reads.seek(_log(s, d), 50, seq=AS_OF)),
-    "kv_seek_for_prev": lambda s, d: _plain(reads.seek_for_prev(_log(s, d), 50, seq=AS_OF)),
-    "kv_range_scan": lambda s, d: _plain(reads.scan(_log(s, d), seq=AS_OF, low=20, high=90)),
+    "kv_scan_limit": lambda s, d: _plain(reads.scan(log := _log(s, d), seq=_late(log), limit=20)),
+    "kv_reverse_scan": lambda s, d: _plain(reads.scan(log := _log(s, d), seq=_late(log), reverse=True)),
+    "kv_seek": lambda s, d: _plain(reads.seek(log := _log(s, d), 50, seq=_late(log))),
+    "kv_seek_for_prev": lambda s, d: _plain(reads.seek_for_prev(log := _log(s, d), 50, seq=_late(log))),
+    "kv_range_scan": lambda s, d: _plain(reads.scan(log := _log(s, d), seq=_late(log), low=20, high=90)),
     "kv_prefix_scan": lambda s, d: _plain(reads.scan(_strings(s, d), prefix="Customer#00000")),
-    "kv_first_last": lambda s, d: reads.first_last(_log(s, d, True), AS_OF),
+    "kv_first_last": lambda s, d: reads.first_last(log := _log(s, d, True), _late(log)),
     "kv_delete_mask": lambda s, d: visibility.latest(_log(s, d)).select("key", "seq", F.col("op").cast("int").alias("op"), "value"),
     "kv_range_delete_mask": lambda s, d: visibility.newest_cover(visibility.latest(_log(s, d)).select("cf_id", "key", "seq"), visibility.ranges(_log(s, d))).select("key", "seq", "cover"),
     "kv_counter_final": lambda s, d: visibility.counters(_log(s, d)).select("key", "value"),
-    "kv_counter_as_of": lambda s, d: visibility.counters(_log(s, d, True), AS_OF).select("cf_id", "key", "value"),
-    "kv_counter_history": lambda s, d: visibility.counter_history(_log(s, d).where("key < 20")).select("key", "seq", "value"),
+    "kv_counter_as_of": lambda s, d: visibility.counters(log := _log(s, d, True), _late(log)).select("cf_id", "key", "value"),
+    "kv_counter_history": lambda s, d: visibility.counter_history(_log(s, d)).select("key", "seq", "value"),
     "kv_key_history": lambda s, d: reads.history(_log(s, d), 3).select("seq", F.col("op").cast("int").alias("op"), "value", "delta"),
     "kv_raw_scan": lambda s, d: reads.raw(_log(s, d, True), 2).select("key", "seq", F.col("op").cast("int").alias("op")),
-    "kv_snapshot_diff": lambda s, d: reads.snapshot_diff(_log(s, d), EARLIER, AS_OF).drop("cf_id"),
-    "kv_cf_isolation": lambda s, d: visibility.visible(_log(s, d, True), AS_OF),
+    "kv_snapshot_diff": lambda s, d: reads.snapshot_diff(log := _log(s, d), _newest(log) * 4 // 9, _late(log)).drop("cf_id"),
+    "kv_cf_isolation": lambda s, d: visibility.visible(log := _log(s, d, True), _late(log)),
     "kv_batch_sequence": kv_batch_sequence,
     "kv_compact_survivors": kv_compact_survivors,
-    "kv_compact_dropped": lambda s, d: m.compaction_verdicts(_log(s, d).where("op != 3"), AS_OF).groupBy(F.col("op").cast("int").alias("op")).agg(F.count(F.lit(1)).alias("ops"), F.count_if(~F.col("keep")).alias("dropped")),
+    "kv_compact_dropped": lambda s, d: m.compaction_verdicts((log := _log(s, d)).where("op != 3"), _late(log)).groupBy(F.col("op").cast("int").alias("op")).agg(F.count(F.lit(1)).alias("ops"), F.count_if(~F.col("keep")).alias("dropped")),
     "kv_compact_live": kv_compact_live,
     "kv_approx_size": lambda s, d: m.approximate_size(_log(s, d), 10, 100),
     "kv_level_files": lambda s, d: m.level_files(_files(s, d)),
@@ -258,7 +266,7 @@ QUERIES = {
     "rep_amplification": lambda s, d: _files(s, d).groupBy("cf_id").agg(reports.amplification(F.sum("size"), F.sum(F.when(F.col("level") > 0, F.col("size")))).alias("amplification")),
 }
 
-#: The queries at AS_OF over the whole log instead: what AS_OF leaves out grows with the log. Snapshots are the newest sequence number or a share of it.
+#: The same queries at the newest sequence number.
 QUERIES |= {
     "kv_live_as_of_whole": kv_live_as_of_whole,
     "kv_live_swept_whole": lambda s, d: _plain(visibility.visible(_log(s, d), None, "sweep")),
@@ -286,37 +294,40 @@ def _log_sql(families: bool = False) -> str:
     return "log AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + " FROM events)"
 
 
-def _visible_sql(seq: int | None = None, families: bool = False, name: str = "live") -> str:
+def _visible_sql(seq: str | None = None, families: bool = False, name: str = "live") -> str:
     bound = "" if seq is None else f" AND seq <= {seq}"
     return f"""{name} AS (SELECT p.cf_id, p.key, p.seq, p.value FROM (
       SELECT *, row_number() OVER (PARTITION BY cf_id, key ORDER BY seq DESC) AS rn FROM log WHERE op IN (0, 1){bound}) p
     WHERE rn = 1 AND op = 1 AND NOT EXISTS (SELECT 1 FROM log t WHERE t.op = 2{bound.replace("seq", "t.seq")} AND t.cf_id = p.cf_id AND t.key <= p.key AND p.key < t.end_key AND t.seq > p.seq))"""
 
 
-def _live(select: str, seq: int | None = AS_OF, families: bool = False) -> str:
-    return f"WITH {_log_sql(families)}, {_visible_sql(seq, families)} {select}"
+_TIP = "tip AS (SELECT max(seq) AS newest, max(seq) * 9 // 10 AS late, max(seq) * 4 // 9 AS early FROM log)"
+LATE, EARLY = "(SELECT late FROM tip)", "(SELECT early FROM tip)"
+
+
+def _live(select: str, seq: str | None = LATE, families: bool = False) -> str:
+    return f"WITH {_log_sql(families)}, {_TIP}, {_visible_sql(seq, families)} {select}"
 
 
 _ROWS = "SELECT key, seq, value FROM live"
 _FILES = "files AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in FILES.items()) + " FROM orders)"
-_TIP = "tip AS (SELECT max(seq) AS newest, max(seq) * 9 // 10 AS late, max(seq) * 4 // 9 AS early FROM log)"
 _COUNTERS = """samples AS (SELECT user_id, event_id * 250 AS time_millis, CAST(sum(step) OVER w AS BIGINT) % 5000 AS operations, CAST(sum(CASE WHEN event_type IN ('view', 'click') THEN step ELSE 0 END) OVER w AS BIGINT) AS reads,
   CAST(sum(CASE WHEN event_type IN ('signup', 'purchase') THEN step ELSE 0 END) OVER w AS BIGINT) AS writes, CAST(sum(CASE WHEN event_type = 'error' THEN step ELSE 0 END) OVER w AS BIGINT) AS removes
   FROM (SELECT *, CAST(floor(value) AS BIGINT) AS step FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""
 _VALUES = "vals AS (SELECT event_type, value, user_id, event_id AS id, value * 40 AS micros FROM events)"
 
 
-def _kept_sql(seq: int | str, more: str = "") -> str:
-    return f"""WITH {_log_sql()}, {more}own AS (SELECT *, lag(seq) OVER (PARTITION BY cf_id, key ORDER BY seq DESC) AS newer FROM log WHERE op != 3),
+def _kept_sql(seq: str) -> str:
+    return f"""WITH {_log_sql()}, {_TIP}, own AS (SELECT *, lag(seq) OVER (PARTITION BY cf_id, key ORDER BY seq DESC) AS newer FROM log WHERE op != 3),
   verdicts AS (SELECT *, NOT (op != 2 AND (coalesce(newer <= {seq}, false) OR (op = 0 AND seq <= {seq}))) AS keep FROM own)"""
 
 
-_KEPT, _KEPT_WHOLE = _kept_sql(AS_OF), _kept_sql("(SELECT newest FROM tip)", _TIP + ", ")
+_KEPT, _KEPT_WHOLE = _kept_sql(LATE), _kept_sql("(SELECT newest FROM tip)")
 
 
-def _counter_sql(seq: int | None, families: bool, columns: str) -> str:
+def _counter_sql(seq: str | None, families: bool, columns: str) -> str:
     bound = "" if seq is None else f" WHERE seq <= {seq}"
-    return f"""WITH {_log_sql(families)}, own AS (SELECT * FROM log{bound}),
+    return f"""WITH {_log_sql(families)}, {_TIP}, own AS (SELECT * FROM log{bound}),
     keys AS (SELECT DISTINCT cf_id, key FROM own WHERE op != 2),
     resets AS (SELECT k.cf_id, k.key, max(o.seq) AS base, arg_max(o.op, o.seq) AS op, arg_max(coalesce(o.value, 0), o.seq) AS start FROM keys k LEFT JOIN own o
       ON o.cf_id = k.cf_id AND ((o.op IN (0, 1) AND o.key = k.key) OR (o.op = 2 AND o.key <= k.key AND k.key < o.end_key)) GROUP BY k.cf_id, k.key),
@@ -342,21 +353,17 @@ ORACLES = {
     "kv_seek_for_prev": _live(_ROWS + " WHERE key <= 50 ORDER BY key DESC LIMIT 1"),
     "kv_range_scan": _live(_ROWS + " WHERE key >= 20 AND key < 90"),
     "kv_prefix_scan": "SELECT c_name AS key, c_custkey AS seq, CAST(c_nationkey AS BIGINT) AS value FROM customer WHERE starts_with(c_name, 'Customer#00000') AND c_custkey % 10 != 0",
-    "kv_first_last": _live("SELECT cf_id, min(key) AS first_key, max(key) AS last_key, count(*) AS live_keys FROM live GROUP BY cf_id", AS_OF, True),
+    "kv_first_last": _live("SELECT cf_id, min(key) AS first_key, max(key) AS last_key, count(*) AS live_keys FROM live GROUP BY cf_id", LATE, True),
     "kv_delete_mask": f"WITH {_log_sql()} SELECT key, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE op IN (0, 1)) WHERE rn = 1",
     "kv_range_delete_mask": f"WITH {_log_sql()}, p AS (SELECT key, max(seq) AS seq FROM log WHERE op IN (0, 1) GROUP BY key) SELECT p.key, p.seq, max(t.seq) AS cover FROM p LEFT JOIN log t ON t.op = 2 AND t.key <= p.key AND p.key < t.end_key GROUP BY p.key, p.seq",
     "kv_counter_final": _counter_sql(None, False, "key"),
-    "kv_counter_as_of": _counter_sql(AS_OF, True, "cf_id, key"),
-    "kv_counter_history": f"""WITH {_log_sql()}, own AS (SELECT * FROM log WHERE key < 20), keys AS (SELECT DISTINCT key FROM own WHERE op != 2),
-      ops AS (SELECT key, seq, op, coalesce(value, delta) AS v FROM own WHERE op != 2 UNION ALL SELECT k.key, t.seq, 0, NULL FROM keys k JOIN own t ON t.op = 2 AND t.key <= k.key AND k.key < t.end_key),
-      cut AS (SELECT *, sum(CASE WHEN op != 3 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq) AS segment FROM ops)
-      SELECT key, seq, CASE WHEN max(CASE WHEN op != 0 THEN 1 ELSE 0 END) OVER w = 1 THEN CAST(sum(coalesce(v, 0)) OVER w AS BIGINT) END AS value FROM cut WINDOW w AS (PARTITION BY key, segment ORDER BY seq)""",
+    "kv_counter_as_of": _counter_sql(LATE, True, "cf_id, key"),
     "kv_key_history": f"WITH {_log_sql()} SELECT seq, op, value, delta FROM log WHERE key = 3 AND op != 2",
     "kv_raw_scan": f"WITH {_log_sql(True)} SELECT key, seq, op FROM log WHERE cf_id = 2",
-    "kv_snapshot_diff": f"""WITH {_log_sql()}, {_visible_sql(EARLIER, name="old")}, {_visible_sql(AS_OF, name="new")}
+    "kv_snapshot_diff": f"""WITH {_log_sql()}, {_TIP}, {_visible_sql(EARLY, name="old")}, {_visible_sql(LATE, name="new")}
       SELECT coalesce(o.key, n.key) AS key, o.value AS old_value, n.value AS new_value, CASE WHEN o.seq IS NULL THEN 'added' WHEN n.seq IS NULL THEN 'removed' ELSE 'changed' END AS change
       FROM old o FULL JOIN new n ON o.key = n.key WHERE o.seq IS DISTINCT FROM n.seq""",
-    "kv_cf_isolation": _live("SELECT cf_id, key, seq, value FROM live", AS_OF, True),
+    "kv_cf_isolation": _live("SELECT cf_id, key, seq, value FROM live", LATE, True),
     "kv_batch_sequence": "SELECT l_orderkey AS batch_id, min(seq) AS first_seq, max(seq) AS last_seq FROM (SELECT l_orderkey, 1000 + row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem) GROUP BY l_orderkey",
     "kv_compact_survivors": _KEPT + " SELECT key, seq, CAST(op AS INTEGER) AS op FROM verdicts WHERE keep",
     "kv_compact_dropped": _KEPT + " SELECT CAST(op AS INTEGER) AS op, count(*) AS ops, count(*) FILTER (NOT keep) AS dropped FROM verdicts GROUP BY op",
@@ -372,7 +379,7 @@ ORACLES = {
     "kv_backup_purge": f"WITH {_FILES} SELECT backup_id FROM (SELECT backup_id, row_number() OVER (ORDER BY backup_id DESC) AS rn FROM (SELECT DISTINCT backup_id FROM files)) WHERE rn > 4",
     "kv_integrity_check": f"""WITH {_FILES} SELECT file_no, 'missing file' AS problem FROM files WHERE file_no % 13 = 0 UNION ALL SELECT file_no, 'wrong size' FROM files WHERE file_no % 13 != 0 AND file_no % 17 = 0
       UNION ALL SELECT file_no, 'bounds out of order' FROM files WHERE smallest_key > largest_key UNION ALL SELECT file_no, 'unknown family' FROM files WHERE cf_id NOT IN (1, 2)""",
-    "kv_verify_model": f"WITH {_log_sql()}, {_visible_sql(AS_OF)}, model AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE op IN (0, 1) AND seq <= {AS_OF}) WHERE rn = 1 AND op = 1) SELECT m.key, 'lost' AS problem FROM model m LEFT JOIN live l ON m.key = l.key WHERE l.key IS NULL",
+    "kv_verify_model": f"WITH {_log_sql()}, {_TIP}, {_visible_sql(LATE)}, model AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE op IN (0, 1) AND seq <= {LATE}) WHERE rn = 1 AND op = 1) SELECT m.key, 'lost' AS problem FROM model m LEFT JOIN live l ON m.key = l.key WHERE l.key IS NULL",
     "rep_rates": f"WITH {_COUNTERS} SELECT user_id, time_millis, CAST(greatest(operations - lag(operations) OVER w, 0) AS DOUBLE) * 1000.0::DOUBLE / greatest(time_millis - lag(time_millis) OVER w, 1) AS rate FROM samples WINDOW w AS (PARTITION BY user_id ORDER BY time_millis) QUALIFY lag(time_millis) OVER w IS NOT NULL",
     "rep_rate_summaries": f"""WITH {_COUNTERS}, own AS (SELECT concat(user_id, ':', unnest(['reads', 'writes', 'removes'])) AS series, time_millis, unnest([reads, writes, removes]) AS counter FROM samples),
       r AS (SELECT series, CAST(greatest(counter - lag(counter) OVER w, 0) AS DOUBLE) * 1000.0::DOUBLE / greatest(time_millis - lag(time_millis) OVER w, 1) AS rate FROM own WINDOW w AS (PARTITION BY series ORDER BY time_millis) QUALIFY lag(time_millis) OVER w IS NOT NULL)
@@ -394,7 +401,7 @@ ORACLES = {
 }
 _MODEL = "model AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE op IN (0, 1)) WHERE rn = 1 AND op = 1)"
 ORACLES |= {
-    "kv_live_as_of_whole": f"WITH {_log_sql()}, {_TIP}, {_visible_sql('(SELECT late FROM tip)')} {_ROWS}",
+    "kv_live_as_of_whole": f"WITH {_log_sql()}, {_TIP}, {_visible_sql(LATE)} {_ROWS}",
     "kv_live_swept_whole": _live(_ROWS, None),
     "kv_point_get_whole": _live(_ROWS + " WHERE key = 149", None),
     "kv_multi_get_whole": _live(f"SELECT CAST(a.place AS BIGINT) AS place, CAST(a.k AS BIGINT) AS key, value FROM (VALUES {_asked}) AS a(place, k) LEFT JOIN live ON live.key = a.k", None),
@@ -410,7 +417,7 @@ ORACLES |= {
       cut AS (SELECT *, sum(CASE WHEN op != 3 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq) AS segment FROM ops)
       SELECT key, seq, CASE WHEN max(CASE WHEN op != 0 THEN 1 ELSE 0 END) OVER w = 1 THEN CAST(sum(coalesce(v, 0)) OVER w AS BIGINT) END AS value FROM cut WINDOW w AS (PARTITION BY key, segment ORDER BY seq)""",
     "kv_cf_isolation_whole": _live("SELECT cf_id, key, seq, value FROM live", None, True),
-    "kv_snapshot_diff_whole": f"""WITH {_log_sql()}, {_TIP}, {_visible_sql("(SELECT early FROM tip)", name="old")}, {_visible_sql(name="new")}
+    "kv_snapshot_diff_whole": f"""WITH {_log_sql()}, {_TIP}, {_visible_sql(EARLY, name="old")}, {_visible_sql(name="new")}
       SELECT coalesce(o.key, n.key) AS key, o.value AS old_value, n.value AS new_value, CASE WHEN o.seq IS NULL THEN 'added' WHEN n.seq IS NULL THEN 'removed' ELSE 'changed' END AS change
       FROM old o FULL JOIN new n ON o.key = n.key WHERE o.seq IS DISTINCT FROM n.seq""",
     "kv_compact_survivors_whole": _KEPT_WHOLE + " SELECT key, seq, CAST(op AS INTEGER) AS op FROM verdicts WHERE keep",
@@ -431,6 +438,7 @@ ORACLES |= {
     "kv_orphan_objects": f"WITH {_FILES}, o AS (SELECT concat_ws('-', name, CAST(size AS VARCHAR)) AS object_id, backup_id FROM files) SELECT DISTINCT object_id FROM o WHERE object_id NOT IN (SELECT object_id FROM o WHERE backup_id > 6)",
     "kv_custom_order": "SELECT c_name AS key, c_custkey AS seq, CAST(c_nationkey AS BIGINT) AS value FROM customer WHERE c_custkey % 10 != 0 AND reverse(c_name) >= reverse('Customer#000000001') AND reverse(c_name) < reverse('Customer#000000005')",
 }
+ORACLES["kv_counter_history"] = ORACLES["kv_counter_history_whole"]
 ORACLES["kv_limited_scan"] = "SELECT to_base64(encode(c_name)) AS key, to_base64(encode(CAST(c_nationkey AS VARCHAR))) AS value, (SELECT count(*) FROM customer WHERE c_custkey % 10 != 0) > 25 AS truncated FROM customer WHERE c_custkey % 10 != 0 ORDER BY c_name LIMIT 25"
 ORACLES["kv_add_results"] = ORACLES["kv_counter_history_whole"].replace("SELECT key, seq, CASE WHEN max(", "SELECT key, seq, value FROM (SELECT key, seq, op, CASE WHEN max(").replace(" AS value FROM cut WINDOW", " AS value FROM cut WINDOW") + ") WHERE op = 3"
 #: DuckDB's name of the text type, where a mapping's text is shared.

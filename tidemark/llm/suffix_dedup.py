@@ -245,17 +245,18 @@ def repeated_spans(keyed: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     length, reach = min(lengths), max(lengths)
     long = keyed.where(F.octet_length("text") >= length)
     found = stored(long.mapInArrow(_find(length, reach), STRETCH_SCHEMA), "stretches")
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Stored, and merged by one plan at every size: a join whose two sides are plain shuffles can be split where an anchor is hot.
+    twice = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "stretch-anchors")
     # All copies of a stretch are alike, so the first one met stands for them, whose columns come from one row.
     # Grouped by anchor and content as one value: the join's deal by anchor would satisfy two columns and leave a hot anchor in one task.
-    kinds = found.join(twice, "anchor", "left_semi").groupBy(F.struct("anchor", "seg").alias("kind")).agg(*[F.first(c).alias(c) for c in ("doc_id", "tkey", "start", "run", "at")], F.count(F.lit(1)).alias("n"))
+    kinds = found.join(twice.hint("merge"), "anchor", "left_semi").groupBy(F.struct("anchor", "seg").alias("kind")).agg(*[F.first(c).alias(c) for c in ("doc_id", "tkey", "start", "run", "at")], F.count(F.lit(1)).alias("n"))
     kinds_table = stored(kinds.select("kind.*", "doc_id", "tkey", "start", "run", "at", "n"), "stretch-kinds")
-    hot = kinds_table.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > MOST_STRETCHES).select("anchor", F.lit(True).alias("hot"))
+    hot = stored(kinds_table.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > MOST_STRETCHES).select("anchor", F.lit(True).alias("hot")), "stretch-hot")
     wanted = kinds_table.join(hot, "anchor", "left").select(F.col("doc_id").alias("d"), F.col("tkey").alias("k"), F.struct("anchor", "seg", "start", "run", "at", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
     wanted = wanted.groupBy("d", "k").agg(F.collect_list("w").alias("wanted"))
     texts = long.join(wanted, (F.col("tkey") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "wanted")
     pieces = stored(texts.mapInArrow(_cut(length, reach), PIECE_SCHEMA), "stretch-bytes")
-    dropped(kinds_table)
+    dropped(kinds_table, twice, hot)
     verdicts = _dealt(pieces.where("NOT hot"), lengths)
     for each in lengths:
         verdicts = verdicts.unionByName(_hot(pieces.where("hot"), each))

@@ -377,6 +377,16 @@ def test_tokens(spark, docs, tmp_path):
     assert all(full[r.sequence_id] == r.tier for r in pieces)
 
 
+def test_token_counts_of_many_chunks(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = [" ".join(f"{chr(97 + i % 26)}{i}x{k}" for i in range(9000)) for k in range(5)] + ["the of and " * 5000]
+    for size in (16384, 4):
+        got = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), tokenizer_path(), size=size).collect()
+        assert {r.doc_id: (r.n_tokens, r.over_limit) for r in got} == {i: (n, n > 2048) for i, n in enumerate(len(plain.encode(t, add_special_tokens=False).ids) for t in texts)}
+
+
 def brute_pipeline(rows, length):
     """(doc_id, text, source) rows that each stage leaves, for distinct numbers; after the mix as often as it takes them."""
     kept = [r for r in rows if brute_quality(r[1])[3]]

@@ -73,8 +73,8 @@ def frequent_chunks(documents: DataFrame, path: str, size: int) -> ChunkTable:
 
     def tokens(batches):
         for batch in batches:
-            known = batch.column("chunk").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(coder(path).count[coder(path).numbers(known)].astype(np.int32))], names=["chunk", "tokens"])
+            numbers = coder(path).numbers(batch.column("chunk").to_pylist())  # first, for it may lay out the counts anew
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(coder(path).count[numbers].astype(np.int32))], names=["chunk", "tokens"])
 
     sums = documents.select("text").mapInArrow(count, "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
     sums = stored(sums, "chunk-sums")
@@ -107,7 +107,8 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 2048, size: int =
             counts[short] = table.find(laid, begins[short], width[short])
             missing = np.flatnonzero(counts < 0)
             raw = laid.tobytes()
-            counts[missing] = own.count[own.numbers([raw[a:b] for a, b in zip(begins[missing].tolist(), ends[missing].tolist(), strict=True)])]
+            numbers = own.numbers([raw[a:b] for a, b in zip(begins[missing].tolist(), ends[missing].tolist(), strict=True)])
+            counts[missing] = own.count[numbers]
             total = np.diff(np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(total), pa.array(total > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

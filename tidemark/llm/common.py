@@ -36,14 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and no executor's loss undoes it."""
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends here, and no executor's loss undoes it. options are the Parquet writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # the table is what later jobs read; its shuffle files need not wait for a garbage collection
     try:
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)

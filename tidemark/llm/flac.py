@@ -28,6 +28,10 @@ FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 MEAN8, PRECISION, SHIFT = [2] * 8, 5, 4
 
 
+#: How stored streams are compressed once more: texts come with copies, and equal texts are equal streams.
+DENSE = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+
+
 def _table(poly: int, bits: int) -> np.ndarray:
     out = np.zeros(256, np.uint32)
     for i in range(256):
@@ -450,4 +454,4 @@ def read_media(media: DataFrame) -> DataFrame:
 
 def op6_flac_media(spark, sf_dir: str) -> DataFrame:
     media = store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return read_media(stored(media, "flac-media"))
+    return read_media(stored(media, "flac-media", DENSE))
